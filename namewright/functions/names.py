@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Particles that names drop, and nicknames with their full names (first reading wins).
 PARTICLES = "jr sr dr prof phd md ii iii iv".split()
@@ -254,25 +255,25 @@ def author_index(name: str, others: list[str]) -> int:
     return inside[0] if len(inside) == 1 else -1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def name_rule(a: pd.Series, b: pd.Series) -> pd.Series:
     """F25 over columns; apply it to distinct pairs."""
     return pd.Series([rule_number(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def matches_prefix(name: pd.Series, target: pd.Series) -> pd.Series:
     """F21 over columns."""
     return pd.Series([prefix_match(x or "", y or "") for x, y in zip(name, target, strict=True)], dtype="bool")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def author_position(name: pd.Series, others: pd.Series) -> pd.Series:
     """F27 over columns: a name and an array of names."""
     return pd.Series([author_index(x or "", list(y) if y is not None else []) for x, y in zip(name, others, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def chinese_name(name: pd.Series) -> pd.Series:
     """F23 over a column."""
     return pd.Series([is_chinese_name(plain(x or "")) for x in name], dtype="bool")
@@ -281,7 +282,7 @@ def chinese_name(name: pd.Series) -> pd.Series:
 def romanized(s: Column, table: dict[str, str]) -> Column:
     """CJK characters through a supplied reading table, others dropped; Latin text stays."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def read(x: pd.Series) -> pd.Series:
         def one(v):
             latin = re.sub("[^A-Za-z ]", "", v).strip()

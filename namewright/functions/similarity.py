@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-20
 
@@ -156,7 +157,7 @@ def ratio_of(a: str, b: str) -> float:
 
 
 def _pairwise(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())  # a type object: workers import this module without a session
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

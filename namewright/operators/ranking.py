@@ -60,7 +60,7 @@ def running_budget(df: DataFrame, by: list[str], order: list, size: str, budget:
 def adjacent_distinct(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
     """Rows whose value differs from the row before."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    return df.where(before.isNull() | (before != F.col(value)))
+    return df.withColumn("before_", before).where(F.col("before_").isNull() | (F.col("before_") != F.col(value))).drop("before_")
 
 
 def top_gap(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Imports every module of queries; QUERIES and ORACLES are complete here."""
 
-from namewright.plans import flagship, relational, scans  # noqa: F401
+from namewright.plans import aggregates, flagship, learned, pairs, relational, scans, texts, windows  # noqa: F401
 from namewright.plans.registry import ORACLES, QUERIES  # noqa: F401

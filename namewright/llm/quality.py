@@ -56,7 +56,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
             seen.add(line)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     repeated = 0
-    if len(known := set(windows)) < len(windows):
+    if len(set(windows)) < len(windows):
         once, again = set(), set()
         for w in windows:
             (again if w in once else once).add(w)
@@ -65,7 +65,6 @@ def statistics(text: str | None) -> tuple[int, ...]:
             if w in again:
                 covered[i : i + 3] = b"\1\1\1"
         repeated = sum(covered)
-    del known
     return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicates, repeated, len(text), lines, total(UPPER, text), total(DIGIT, text), total(MARK, text), len(set(words)), total(LATIN, text))
 
 

@@ -9,8 +9,9 @@ from namewright.llm.packing import op10_packing
 from namewright.llm.quality import op7_quality_rules
 from namewright.llm.secrets import op1_secret_scan
 from namewright.llm.simhash import op8_simhash
+from namewright.llm.suffix import op5_suffix_dedup
 from namewright.llm.tokenstore import op3_token_output
 from namewright.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_token_output, op4_exact_dedup, op6_language_id, op7_quality_rules, op8_simhash, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_token_output, op4_exact_dedup, op5_suffix_dedup, op6_language_id, op7_quality_rules, op8_simhash, op9_mixing, op10_packing)}
 ORACLES = {"op4_exact_dedup": OP4_SQL}

@@ -33,9 +33,7 @@ def weighted(truth: DataFrame, pred: DataFrame, aid: str, pid: str) -> DataFrame
     both = truth.join(pred, [aid, pid]).groupBy(aid).agg(F.count(F.lit(1)).alias("hit"))
     t, p = truth.groupBy(aid).agg(F.count(F.lit(1)).alias("t")), pred.groupBy(aid).agg(F.count(F.lit(1)).alias("p"))
     rows = t.join(p, aid, "left").join(both, aid, "left").fillna(0, ["p", "hit"])
-    total = F.sum("t").over(Window.partitionBy())
     rows = rows.groupBy().agg(F.sum("t").alias("total"), F.sum(F.col("t") * over(F.col("hit"), F.col("p"))).alias("wp"), F.sum("hit").alias("wr"))
-    del total
     p_, r_ = F.col("wp") / F.col("total"), F.col("wr") / F.col("total")
     return rows.select(p_.alias("precision"), r_.alias("recall"), f1(p_, r_).alias("f1"))
 

@@ -110,10 +110,8 @@ KEY = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array
 def j02_name_key_join(spark, d):
     """Names with the same tokens in any order, left join; groups are summed before they meet."""
     keyed = table(spark, d, "part").select("p_partkey", names.name_key(F.col("p_name")).alias("k"))
-    two = F.slice(F.sort_array(F.collect_set("p_partkey")), 1, 2)
     least = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("p_partkey").alias("first"))
     second = keyed.join(least, "k").where("p_partkey > first").groupBy("k").agg(F.min("p_partkey").alias("second"))
-    del two
     rows = keyed.join(least, "k").join(second, "k", "left")
     return rows.select(F.col("p_partkey").alias("a"), F.when(F.col("p_partkey") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), (F.col("m") - 1).alias("n"))
 

@@ -52,18 +52,18 @@ def fit(counts: dict[int, int], budget: int, reach: int = KNAPSACK) -> dict[int,
 
     Proportional counts first, then the largest that fit, until the dynamic program's
     reach; then reachable sums as bits of one integer, a bounded number of each size by
-    binary splitting, traced back from the sum nearest the budget.
+    binary splitting, traced back from the sum nearest the budget, below or above it.
     """
     sizes = sorted((s for s in counts if s > 0), reverse=True)
     total = sum(s * counts[s] for s in sizes)
     if budget >= total:
         return {s: counts[s] for s in sizes}
     # Room is left for the program to choose among sizes: it gets the budget below `hold`.
-    hold = min(budget, reach // 2)
+    hold = budget if budget <= reach else reach // 2
     take = {s: counts[s] * (budget - hold) // total for s in sizes}
     left = budget - sum(s * n for s, n in take.items())
     for s in sizes:
-        if left <= reach // 2:
+        if left <= reach:
             break
         n = min(counts[s] - take[s], (left - reach // 2) // s)
         take[s], left = take[s] + n, left - n * s
@@ -71,9 +71,10 @@ def fit(counts: dict[int, int], budget: int, reach: int = KNAPSACK) -> dict[int,
         for s in sizes:  # only documents longer than the reach are left over
             n = min(counts[s] - take[s], left // s)
             take[s], left = take[s] + n, left - n * s
-    mask, sums, lots = (1 << (left + 1)) - 1, 1, []
+    # Sums up to twice the rest: beyond, taking nothing is nearer.
+    mask, sums, lots = (1 << (2 * left + 1)) - 1, 1, []
     for s in sizes:
-        free, step = min(counts[s] - take[s], left // s), 1
+        free, step = min(counts[s] - take[s], 2 * left // s), 1
         while free > 0:
             n = min(step, free)
             lots.append((s, n, sums))
@@ -81,7 +82,9 @@ def fit(counts: dict[int, int], budget: int, reach: int = KNAPSACK) -> dict[int,
             free, step = free - n, step * 2
         if sums >> left & 1:
             break
-    at = sums.bit_length() - 1
+    below = (sums & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = left + ((x := sums >> left) & -x).bit_length() - 1 if sums >> left else 3 * left
+    at = below if left - below <= above - left else above
     for s, n, before in reversed(lots):
         if not before >> at & 1:
             take[s], at = take[s] + n, at - s * n

@@ -207,3 +207,38 @@ def u04_set_sizes(spark, d):
 def u06_recombine(spark, d):
     """Both classes in one pass, without a split and a union."""
     return table(spark, d, "labels").select("doc_id", "quality", F.when(F.col("quality") == 1, "normal").otherwise("outlier").alias("kind"))
+
+
+@query("j03_fuzzy_names")
+def j03_fuzzy_names(spark, d):
+    """Candidates by name rules: distinct names meet by a token or an initial, each pair is judged once, the strictest rule wins."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "part").select("p_name").distinct()
+    tokens = F.split("p_name", " ")
+    short = F.concat_ws(" ", F.substring(F.element_at(tokens, 1), 1, 1), F.element_at(tokens, -1))
+    slots = p.select(F.when(F.xxhash64("p_name") % 2 == 0, short).otherwise(F.array_join(F.reverse(tokens), " ")).alias("slot")).distinct()
+    left = slots.select("slot", F.explode(F.array_distinct(F.split("slot", " "))).alias("token")).where(F.length("token") > 1)
+    right = p.select(F.col("p_name").alias("name"), F.explode(F.array_distinct(tokens)).alias("token"))
+    pairs = left.join(right, "token").select("slot", "name").distinct()
+    judged = blocking.rule_matches(pairs, "slot", "name", names.name_rule).where("rule > 0")
+    first = F.row_number().over(Window.partitionBy("slot").orderBy("rule", "name"))
+    return judged.withColumn("first_", first).where("first_ = 1").select("slot", "name", "rule")
+
+
+@query("p11_columns", "SELECT o_orderkey AS pid, o_custkey AS aid FROM orders WHERE o_custkey IS NOT NULL")
+def p11_columns(spark, d):
+    """The key columns of rows with a candidate; only these two columns are read."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("aid")).where(F.col("aid").isNotNull())
+
+
+@query("u01_union_all", "SELECT s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT c_name, c_nationkey FROM customer")
+def u01_union_all(spark, d):
+    """Tables one after the other, repeats kept."""
+    return table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).unionByName(table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
+
+
+@query("w11_sorted_scores", "SELECT l_orderkey, l_partkey, l_discount FROM lineitem ORDER BY l_orderkey DESC, l_discount DESC, l_partkey DESC")
+def w11_sorted_scores(spark, d):
+    """A global order over several keys, by range partitions."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount").orderBy(F.desc("l_orderkey"), F.desc("l_discount"), F.desc("l_partkey"))

@@ -37,7 +37,7 @@ def test_equals_sql(spark, duck, data, name):
     assert left == right
 
 
-@pytest.mark.parametrize("name", ["c03_relabel", "f09_stem", "f25_name_rules", "f30_levenshtein_ratio", "g09_spectral", "m04_logistic"])
+@pytest.mark.parametrize("name", ["c03_relabel", "f09_stem", "f25_name_rules", "f30_levenshtein_ratio", "g09_spectral", "j03_fuzzy_names", "m04_logistic"])
 def test_rows_only(spark, data, name):
     assert entry.queries()[name](spark, data).count() > 0
 

@@ -10,6 +10,7 @@ from namewright.operators import ranking
 from namewright.operators.blocking import token_overlap
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, papers, split, sql, words
+from namewright.sources.shared import written
 
 
 def pair_features(spark, d) -> DataFrame:
@@ -18,7 +19,7 @@ def pair_features(spark, d) -> DataFrame:
     Overlaps are equi-joins on (block, token) that yield only pairs with something in
     common; the profile side is made distinct per person first.
     """
-    parts = split(spark, d)
+    parts = written(split(spark, d).select("pid", "aid", "block", "year", "is_new"), "split")  # read six times below
     slots = parts.where("is_new").select("pid", "block", F.col("year").alias("slot_year"))
     old = parts.where("not is_new").select(F.col("pid").alias("old"), "aid", "block", "year")
     persons = old.groupBy("block", "aid").agg(F.max("year").alias("last_year"))

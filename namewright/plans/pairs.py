@@ -95,9 +95,11 @@ U, V = F.col, F.col
 
 @query("v09_cosine", sql("SELECT a, b, round(list_cosine_similarity(u, v), 6) AS cosine, round(1 - list_cosine_similarity(u, v), 6) AS distance FROM pairs", pairs=VECS))
 def v09_cosine(spark, d):
-    """Similarity and distance in a block."""
-    u, v = F.col("u"), F.col("v")
-    return vector_pairs(spark, d).select("a", "b", F.round(similarity.cosine(u, v), 6).alias("cosine"), F.round(similarity.cosine_or_nan(u, v), 6).alias("distance"))
+    """Similarity and distance in a block; vectors are brought to unit length once, before they meet."""
+    e = table(spark, d, "embeddings").select("label", "vec_id", similarity.normalized(F.col("embedding")).alias("u"), (similarity.norm(F.col("embedding")) == 0).alias("zero"))
+    a, b = e.toDF("label", "a", "u", "zero_a"), e.toDF("label", "b", "v", "zero_b")
+    pairs = a.join(b, "label").where("a < b").select("a", "b", similarity.dot(F.col("u"), F.col("v")).alias("cosine"), (F.col("zero_a") | F.col("zero_b")).alias("zero"))
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"), F.when(F.col("zero"), float("nan")).otherwise(F.round(1 - F.col("cosine"), 6)).alias("distance"))
 
 
 @query("v12_manhattan", sql("SELECT a, b, round(list_sum(list_transform(range(1, 65), lambda i: abs(u[i] - v[i]))), 6) AS distance FROM pairs", pairs=VECS))

@@ -25,6 +25,7 @@ def encoder(path: str, kind: str):
     always starts a new piece, so it is a safe cut in front of the space.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     library = Tokenizer.from_file(path)
     specials = [t.content for t in library.get_added_tokens_decoder().values()]
@@ -32,11 +33,23 @@ def encoder(path: str, kind: str):
     def plain(text: str) -> bytes:
         return np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    # Runs of letters are one piece: the model takes them in the byte alphabet, without normalising and splitting again.
+    letters = "".join(chr(c) for c in (32, *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))
+    alphabet = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in letters}
+    model = library.model
+
+    def run(piece: str) -> bytes:
+        return np.array([x.id for x in model.tokenize(piece.translate(alphabet))], "<u4").tobytes()
+
+    def one(piece: str) -> bytes:
+        return run(piece) if only.fullmatch(piece) else plain(piece)
+
     # Letters up to U+00FF, single digits and runs of other ASCII marks are pieces of their own in both vocabularies.
     latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    only = re.compile(rf"[{latin}]+" if kind == "word" else rf" ?[{latin}]+")
+    known = WordIds(one, 1_200_000)
     if kind == "word":
         part = re.compile(rf"[{latin}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
-        known = WordIds(plain, 900_000)
 
         def whole(piece: str) -> bytes:
             low = piece.lower()
@@ -54,13 +67,12 @@ def encoder(path: str, kind: str):
         return ids
 
     unsafe, cut = re.compile(r" \s|\s |^ | $"), re.compile(r"(?<=\S)(?= \S)")
-    pair = re.compile(rf"( ?[{latin}]+)([!-&(-/:-@\[-`{{-~]+)")
-    known = WordIds(plain, 900_000)
+    part = re.compile(rf" ?[{latin}]+| ?[0-9]+|[!-&(-/:-@\[-`{{-~]+|\n")
 
     def whole(piece: str) -> bytes:
-        if two := pair.fullmatch(piece):
-            return known[two[1]] + known[two[2]]
-        return known[piece]
+        if "\n\n" not in piece and sum(map(len, parts := part.findall(piece))) == len(piece):
+            return b"".join([known[x] for x in parts])
+        return plain(piece)
 
     cache = WordIds(whole)
 

@@ -98,16 +98,20 @@ def chosen(rows: DataFrame, quota: DataFrame, levels: int = 2) -> DataFrame:
     the one slice in which the quota ends; only that slice's rows are ranked.
     """
     keys = ["source_id", "size"]
-    within = rows.join(quota, keys).where("quota > 0")
     slice_of = lambda level: F.shiftrightunsigned("hash", 64 - 8 * level)
-    sure, rest, by = [], within, keys
+    sure, rest, goal, by = [], rows, quota, keys
     for level in range(1, levels + 1):
-        counted = rest.groupBy(*keys, slice_of(level).alias("slice"), "quota").agg(F.count(F.lit(1)).alias("n"))
+        # Rows are counted by slice before they meet the quota, and meet it by slice, so no join is by (source, size) alone.
+        sliced = rest.withColumn("slice", slice_of(level))
+        counted = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n")).join(goal.where("quota > 0"), keys)
         running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("slice")))
         cut = written(running.where("upto - n < quota").select(*keys, "slice", (F.col("quota") - F.col("upto") + F.col("n")).alias("open"), "n"), "cut")
-        met = rest.withColumn("slice", slice_of(level)).join(cut, [*keys, "slice"])
+        met = sliced.join(cut, [*keys, "slice"])
         sure.append(met.where("open >= n").select("rid"))
         rest = met.where("open < n").select("rid", *keys, "hash", "key", F.col("open").alias("quota"))
+        goal = cut.where("open < n").select(*keys, F.col("open").alias("quota"))
+        if level < levels:
+            rest = rest.drop("quota")
     ranked = rest.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "key", "rid")))
     sure.append(ranked.where("place <= quota").select("rid"))
     out = sure[0]

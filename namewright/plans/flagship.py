@@ -47,7 +47,7 @@ SCORES = dict(
     co="SELECT s.pid, t.aid, count(*) AS n FROM slots s JOIN coauthors c ON s.pid = c.pid JOIN (SELECT DISTINCT block, aid, author FROM olds JOIN coauthors x ON x.pid = old) t ON t.block = s.block AND t.author = c.author GROUP BY ALL",
     wo="SELECT s.pid, t.aid, count(*) AS n FROM slots s JOIN words c ON s.pid = c.pid JOIN (SELECT DISTINCT block, aid, word FROM olds JOIN words x ON x.pid = old) t ON t.block = s.block AND t.word = c.word GROUP BY ALL",
     features="SELECT s.pid, p.aid, coalesce(co.n, 0) AS coauthors, coalesce(wo.n, 0) AS words, least(abs(slot_year - last_year), 20) AS gap FROM slots s JOIN persons p USING (block) LEFT JOIN co ON co.pid = s.pid AND co.aid = p.aid LEFT JOIN wo ON wo.pid = s.pid AND wo.aid = p.aid",
-    scores="SELECT *, round(1.5 * coauthors + 0.33 * words - 0.1 * gap, 6) AS score FROM features",
+    scores="SELECT *, round(CAST(1.5 * coauthors + 0.33 * words - 0.1 * gap AS DOUBLE), 6) AS score FROM features",
 )
 
 

@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB, row by row; the others must run and give the columns they promise."""
 
+from decimal import Decimal
+
 import duckdb
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ WITH_SQL = [q for q in OWN if q in entry.oracle_sql()]
 def value(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(value(x) for x in v)
-    if isinstance(v, (float, np.floating)):
+    if isinstance(v, (float, np.floating, Decimal)):
         return None if v != v else round(float(v), 7) + 0.0
     return v.item() if isinstance(v, np.generic) else v
 

@@ -24,9 +24,13 @@ ORACLE_SQL = None
 
 
 def only(docs: DataFrame, decided: DataFrame, more=()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``decided`` (doc_id, more...)."""
+    """The rows of ``docs`` whose doc_id is in ``decided`` (doc_id, more...).
+
+    Always a shuffled hash join on the narrow side: the texts move once and are not
+    sorted, and the plan does not change with the size of the decisions.
+    """
     decided = written(decided.select(F.col("doc_id").alias("id_kept"), *more), "decided")
-    return docs.select(*COLUMNS).join(decided, docs["doc_id"].eqNullSafe(decided["id_kept"])).drop("id_kept")
+    return docs.select(*COLUMNS).join(decided.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(decided["id_kept"])).drop("id_kept")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

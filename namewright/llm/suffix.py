@@ -194,6 +194,9 @@ def repeated_anchors(docs: DataFrame, span: int, bits: int) -> str:
         held, part = [], 0
         for batch in batches:
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part and held:  # a task may read several parts
+                    yield from blobs(held, part)
+                    held = []
                 part, low = p, anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), span)
                 if len(low):
                     held.append(np.unique(bucket_key(snippets(low)[2], bits)))

@@ -186,6 +186,17 @@ def test_suffix_dedup(docs, none):
     assert dedup_spans(none).count() == 0
 
 
+def test_suffix_dedup_many_parts(docs):
+    """Parts so many and small that a task reads several of them."""
+    from namewright.llm.suffix import dedup_spans
+
+    got = by_id(dedup_spans(docs.repartition(40)))
+    items = sorted(((k if k is not None else -1, t) for k, t, *_ in rows()), key=lambda x: x[0])
+    for key, want in brute_spans(items, 50).items():
+        r = got[key if key >= 0 else None]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, key
+
+
 def test_suffix_array():
     from namewright.llm.suffix import suffix_array
 

@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns the columns of documents; the last returns the packed pieces. Decisions are
-joined to the texts by doc_id, which the stages keep unique until the mixture repeats
-documents.
+made for rows and joined to the texts by a row id, which each stage gives its rows in a
+written table, so repeated and null doc_ids are decided one by one.
 """
 
 from __future__ import annotations
@@ -23,36 +23,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def only(docs: DataFrame, decided: DataFrame, more=()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``decided`` (doc_id, more...).
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a unique ``row_id``; written, so that every reader sees the same ids."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")), "numbered")
+
+
+def only(rows: DataFrame, decided: DataFrame, more=()) -> DataFrame:
+    """The rows of ``rows``, numbered, whose row_id is in ``decided`` (row_id, more...), each at most once there.
 
     Always a shuffled hash join on the narrow side: the texts move once and are not
     sorted, and the plan does not change with the size of the decisions.
     """
-    decided = written(decided.select(F.col("doc_id").alias("id_kept"), *more), "decided")
-    return docs.select(*COLUMNS).join(decided.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(decided["id_kept"])).drop("id_kept")
+    decided = written(decided.select("row_id", *more), "decided")
+    return rows.join(decided.hint("shuffle_hash"), "row_id").drop("row_id")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned list rejects."""
     rules = learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return only(docs, judge(docs, rules).where("kept").select("doc_id"))
+    rows = numbered(docs)
+    return only(rows, judge(rows, rules, row="row_id").where("kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
-    return only(docs, dedup_exact(docs).where("kept").select("doc_id"))
+    rows = numbered(docs)
+    return only(rows, dedup_exact(rows, row="row_id").where("kept"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each component of near fingerprints."""
-    return only(docs, near_dedup(docs).where("doc_id <=> component_id").select("doc_id"))
+    """One row, the smallest doc_id and then row id, of each component of near fingerprints."""
+    rows = numbered(docs)
+    return only(rows, near_dedup(rows, row="row_id").where("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
-    times = mix(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("times"))
-    repeated = only(docs, times, ["times"])
+    """Every row as often as the mixture takes it."""
+    rows = numbered(docs)
+    times = mix(rows, row="row_id").where("taken > 0").select(F.col("rid").alias("row_id"), F.expr("cast(taken div size as int)").alias("times"))
+    repeated = only(rows, times, ["times"])
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

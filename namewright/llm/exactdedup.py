@@ -35,10 +35,11 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{LEAST},{MOST - 2}}}?{ENDS}|.{{1,{MOST}}}"), F.lit(0))
 
 
-def recipes(df: DataFrame, key: str, text: str, hash_bits: int = 64) -> DataFrame:
-    """Per row: key, code points of the original text, SHA-256 of the normalised text, recipe (a hash per chunk)."""
-    norm = df.select(F.col(key).alias("key"), text_of(text).alias("text")).select("key", F.length("text").alias("n"), normalised(F.col("text")).alias("norm"))
-    return norm.select("key", "n", F.sha2("norm", 256).alias("sha"), F.transform(chunks(F.col("norm")), lambda c: hashed(c, hash_bits)).alias("recipe"))
+def recipes(df: DataFrame, key: str, text: str, hash_bits: int = 64, row: str | None = None) -> DataFrame:
+    """Per row: key, row id if named, code points of the original text, SHA-256 of the normalised text, recipe (a hash per chunk)."""
+    ids = [F.col(row).alias("rid")] if row else []
+    norm = df.select(F.col(key).alias("key"), *ids, text_of(text).alias("text")).withColumns({"n": F.length("text"), "norm": normalised(F.col("text"))}).drop("text")
+    return norm.select(*norm.columns[:-1], F.sha2("norm", 256).alias("sha"), F.transform(chunks(F.col("norm")), lambda c: hashed(c, hash_bits)).alias("recipe"))
 
 
 def hashed(chunk: Column, bits: int) -> Column:
@@ -71,29 +72,29 @@ def patches(df: DataFrame, clash: DataFrame, key: str, text: str, hash_bits: int
 PATCH = "array<struct<pos:int,variant:int,of:bigint>>"
 
 
-def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per input row: key, keep_id, group_size, kept, text_sha256.
+def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64, row: str | None = None) -> DataFrame:
+    """One row per input row: key, keep_id, group_size, kept, text_sha256, and ``row``, a unique row id, if named.
 
-    Of equal texts the row with the most code points, then the smallest key, stays.
+    Of equal texts the row with the most code points, then the smallest key, then the smallest row id, stays.
     Group results are written before they are joined to the rows, so a group that holds
     a third of all rows is a skewed join side, which adaptive execution splits.
     """
     prepare(df.sparkSession)
-    rows = recipes(df, key, text, hash_bits)
+    rows, own = recipes(df, key, text, hash_bits, row), "rid" if row else "key"
     clash = clashing(df, key, text, hash_bits)
     if clash.isEmpty():
         rows = rows.withColumn("patch", F.array().cast(PATCH))
     else:
-        more = patches(df, clash, key, text, hash_bits).withColumnRenamed("key", "of_key")
-        rows = rows.join(more, rows["key"].eqNullSafe(F.col("of_key")), "left").withColumn("patch", F.coalesce("patch", F.array().cast(PATCH)))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("rid"), "key", "n", "sha", F.struct("recipe", "patch").alias("ids")), "recipes")
+        more = patches(df, clash, row or key, text, hash_bits).withColumnRenamed("key", "of_key")
+        rows = rows.join(more, rows[own].eqNullSafe(F.col("of_key")), "left").withColumn("patch", F.coalesce("patch", F.array().cast(PATCH)))
+    rows = written(rows.select(F.col("rid") if row else F.monotonically_increasing_id().alias("rid"), "key", "n", "sha", F.struct("recipe", "patch").alias("ids")), "recipes")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("key").alias("key"), F.col("rid").alias("rid"))).alias("best")
     groups = rows.groupBy("ids").agg(F.count(F.lit(1)).alias("size"), best).where("size > 1")
     groups = written(groups.select("ids", "size", F.col("best.key").alias("keep"), F.col("best.rid").alias("best")), "groups")
     alone = F.col("size").isNull()
     keep = F.when(alone, F.col("key")).otherwise(F.col("keep"))
     return rows.join(groups, "ids", "left").select(
-        F.col("key").alias(key), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"), (alone | (F.col("rid") == F.col("best"))).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("key").alias(key), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"), (alone | (F.col("rid") == F.col("best"))).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("rid").alias(row)] if row else [])
     )
 
 

@@ -120,15 +120,15 @@ def chosen(rows: DataFrame, quota: DataFrame, levels: int = 2) -> DataFrame:
     return out
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights=(5, 2, 1), most: float = 3.0, seed: int = 9) -> DataFrame:
-    """One row per input row: key, size, source_size, target, taken.
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights=(5, 2, 1), most: float = 3.0, seed: int = 9, row: str | None = None) -> DataFrame:
+    """One row per input row: key, size, source_size, target, taken, rid (the unique row id that ``row`` names, or an own one).
 
     The driver holds one row per source (the mixture's own table), executors one
     histogram of sizes per source; all rows are only counted, hashed and marked.
     """
     spark = prepare(df.sparkSession)
     rows = written(
-        df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("hash")).withColumn("rid", F.monotonically_increasing_id()),
+        df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("hash"), F.col(row).alias("rid") if row else F.monotonically_increasing_id().alias("rid")),
         "sizes",
     )
     per = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("n")).collect()

@@ -68,14 +68,15 @@ def statistics(text: str | None) -> tuple[int, ...]:
     return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicates, repeated, len(text), lines, total(UPPER, text), total(DIGIT, text), total(MARK, text), len(set(words)), total(LATIN, text))
 
 
-def with_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
+def with_statistics(df: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
     def op(batches):
         for batch in batches:
             if batch.num_rows:
                 made = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made.T)], names=["key", *COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made.T), *batch.columns[2:]], names=["key", *COUNTS, *ids])
 
-    return df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text")).mapInArrow(op, SCHEMA)
+    ids = [row] if row else []
+    return df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"), *ids).mapInArrow(op, SCHEMA + "".join(f", {x} bigint" for x in ids))
 
 
 def statistic(name: str) -> Column:
@@ -169,10 +170,10 @@ def verdict(rules) -> Column:
     return out
 
 
-def judge(df: DataFrame, rules, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, the counts, base_failed, rule (that rejects, or null), kept."""
+def judge(df: DataFrame, rules, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per input row: key, the counts, base_failed, rule (that rejects, or null), kept, and ``row``, a row id, if named."""
     prepare(df.sparkSession)
-    rows = with_statistics(df, key, text)
+    rows = with_statistics(df, key, text, row)
     base = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     out = rows.withColumn("base_failed", base).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).withColumnRenamed("key", key)

@@ -46,13 +46,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+def fingerprints(df: DataFrame, key: str, text: str, shingle: int, row: str | None = None) -> DataFrame:
     def op(batches):
         for batch in batches:
             made = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), batch.column(2)], names=["key", "fp", "row"])
 
-    return df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text")).mapInArrow(op, "key bigint, fp bigint")
+    own = F.col(row) if row else F.lit(None)
+    return df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"), own.cast("bigint").alias("row")).mapInArrow(op, "key bigint, fp bigint, row bigint")
 
 
 class Forest:
@@ -137,22 +138,26 @@ def tile_links(fps: DataFrame, radius: int) -> DataFrame:
     return spread.mapInArrow(op, "a bigint, b bigint")
 
 
-def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, row: str | None = None) -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits), component_id (smallest key reachable).
 
+    If ``row`` names a unique row id, also that and ``kept``, true for one row of each
+    component: the smallest key (null last), then the smallest row id.
     Texts are read once and never shuffled; all else works on distinct fingerprints.
     """
     prepare(df.sparkSession)
-    rows = written(fingerprints(df, key, text, shingle), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    rows = written(fingerprints(df, key, text, shingle, row), "fingerprints")
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
+    fps = written(rows.groupBy("fp").agg(best, F.count(F.lit(1)).alias("n")), "distinct")
     links = written(tile_links(fps.select("fp"), radius), "tile-links")
     labels = components(links).select(F.col("node").alias("fp"), "label")
     named = fps.join(labels, "fp", "left").where("label is not null or n > 1").withColumn("label", F.coalesce("label", "fp"))
     named = written(named, "named")
-    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = written(named.select("fp", "label").join(lowest, "label").select("fp", "component_id"), "classes")
+    lowest = named.groupBy("label").agg(F.min("first").alias("first"))
+    classes = written(named.select("fp", "label").join(lowest, "label").select("fp", F.col("first.key").alias("component_id"), F.col("first.row").alias("best")), "classes")
     out = rows.join(classes, "fp", "left")
-    return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "key").alias("component_id"))
+    ids = [F.col("row").alias(row), (F.coalesce("best", "row") == F.col("row")).alias("kept")] if row else []
+    return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "key").alias("component_id"), *ids)
 
 
 def op8_simhash(spark, sf_dir):

@@ -34,6 +34,51 @@ def test_stages_and_run(spark, data):
     assert sorted(map(key, again)) == sorted(map(key, got))
 
 
+def test_stages_on_repeated_and_null_ids(spark, data):
+    """Every stage decides row by row: of two rows of one doc_id, or of none, one may stay."""
+    import re
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+    from namewright.llm.common import documents
+    from namewright.llm.mixing import WORD, mix
+    from namewright.llm.quality import judge, learn
+    from namewright.llm.simhash import fingerprint
+
+    found = documents(spark, data).select(*COLUMNS).orderBy("doc_id").limit(150).collect()
+    items = [({0: None, 1: 7}.get(i % 3, r["doc_id"]), *r[1:]) for i, r in enumerate(found)]
+    items += [(None, *r[1:]) for r in found[:20]] + [(7, *r[1:]) for r in found[:10]] + [(None, "bad", "en", "s", 3), (7, "bad", "en", "s", 3)]
+    docs = spark.createDataFrame(items, documents(spark, data).select(*COLUMNS).schema).repartition(3)
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+
+    rules = learn(documents(spark, data), spark.read.parquet(f"{data}/labels.parquet"))
+    texts = dict(enumerate(x[1] for x in items))
+    unique = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    good = {r["doc_id"] for r in judge(unique, rules).where("kept").collect()}
+    assert rows(p.quality_rules(spark, docs, data)) == Counter((items[i][0], texts[i]) for i in good)
+
+    squeeze = lambda t: "".join((t or "").split())
+    groups = defaultdict(list)
+    for i, (key, *_) in enumerate(items):
+        groups[squeeze(texts[i])].append((-len(texts[i] or ""), key is not None, key or 0, key))
+    assert Counter((k, squeeze(t)) for (k, t), n in rows(p.exact_dedup(spark, docs, data)).items() for _ in range(n)) == Counter((min(m)[3], s) for s, m in groups.items())
+
+    marks, root = [fingerprint(texts[i]) for i in range(len(items))], list(range(len(items)))
+    for i in range(len(items)):
+        for j in range(i):
+            if (marks[i] ^ marks[j]).bit_count() <= 3 and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    least = {c: min((items[i][0] is None, items[i][0] or 0) for i in range(len(items)) if root[i] == c) for c in set(root)}
+    near = p.simhash_dedup(spark, docs, data).collect()
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in near) == Counter(least.values())
+
+    total = mix(docs).agg(F.sum("taken")).first()[0]
+    assert sum(len(re.findall(WORD, r["text"] or "")) for r in p.mix_sources(spark, docs, data).collect()) == total
+
+
 def test_empty_stages(spark, data):
     import corpus_pipeline as p
 

@@ -13,7 +13,9 @@ snippet learns goes back to its documents by a join on the snippet's digest.
 
 Buckets are cut by anchors and not by ranges of one global suffix order: a global order
 would move some 80 bytes for each byte of repeated text, more than the disk a run may use,
-and strings of different anchors are never equal, so no comparison is lost.
+and strings of different anchors are never equal, so no comparison is lost. An anchor in
+so many different contexts that its bucket would outgrow a task is not sorted: the digests
+of all its ``span``-byte strings are grouped instead, which any number of tasks can share.
 
 Edge cases: null and empty texts have no bytes; texts shorter than the span lose nothing
 and lend nothing; a null key counts as smaller than all others; rows that share a key
@@ -38,6 +40,8 @@ GRAM = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Anchors in a bucket of the first shuffle, bytes of distinct snippets in one of the second.
 ANCHORS, BYTES = 500_000, 1_500_000
+#: An anchor with more bytes of distinct snippets than this is not sorted in one task but compared string by string.
+HEAVY = 4_000_000
 
 
 # --- numpy: anchors and suffix sorting ---
@@ -263,7 +267,34 @@ SNIPPETS = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("key", pa.int6
 VERDICTS = "digest binary, lowest bigint, uses bigint, spans array<struct<first:int,last:int>>"
 
 
-def verdicts(found: DataFrame, span: int) -> DataFrame:
+def by_string(distinct: DataFrame, span: int) -> DataFrame:
+    """The VERDICTS of distinct snippets of any number, by grouping the digests of their ``span``-byte strings."""
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            strings = [[hashlib.blake2b(t[i : i + span], digest_size=16).digest() for i in range(len(t) - span + 1)] for t in texts]
+            digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(1), batch.column(2), pa.array(strings, pa.list_(pa.binary()))], names=["digest", "lowest", "uses", "strings"])
+
+    def spans(batches):
+        for batch in batches:
+            found = []
+            for at in batch.column(3).to_pylist():
+                at = np.sort(np.array(at or [], np.int64))
+                new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                found.append([{"first": int(a), "last": int(b)} for a, b in zip(at[new], at[np.append(new[1:], len(at)) - 1], strict=True)] if len(at) else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["digest", "lowest", "uses", "spans"])
+
+    cuts = written(distinct.select("snippet", "lowest", "uses").mapInArrow(cut, "digest binary, lowest bigint, uses bigint, strings array<binary>"), "strings")
+    each = cuts.select("digest", "lowest", F.posexplode("strings").alias("at", "string"))
+    low = each.groupBy("string").agg(F.min("lowest").alias("low"), F.max("lowest").alias("high")).where("low < high")
+    low = written(low.select("string", "low"), "string-keys")
+    hits = each.join(low, "string").where("lowest > low").groupBy("digest").agg(F.collect_list("at").alias("at"))
+    return cuts.select("digest", "lowest", "uses").join(hits, "digest", "left").select("digest", "lowest", "uses", "at").mapInArrow(spans, VERDICTS)
+
+
+def verdicts(found: DataFrame, span: int, heavy: int = HEAVY) -> DataFrame:
     """Per distinct snippet: its smallest key, its uses, and the starts of strings that a smaller key has."""
     distinct = found.groupBy("anchor", "snippet").agg(F.min("key").alias("lowest"), F.count(F.lit(1)).alias("uses"))
     distinct = written(distinct, "distinct-snippets")
@@ -281,11 +312,17 @@ def verdicts(found: DataFrame, span: int) -> DataFrame:
         return pa.table({"digest": pa.array(digests, pa.binary()), "lowest": table["lowest"], "uses": table["uses"], "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))})
 
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
-    told = distinct.groupBy(bucket.alias("bucket")).applyInArrow(sort_bucket, VERDICTS)
+    large = distinct.groupBy("anchor").agg(F.sum(F.length("snippet")).alias("n")).where(F.col("n") > heavy)
+    large = F.broadcast(written(large.select("anchor"), "heavy-anchors"))  # at most total / heavy rows
+    some = not large.isEmpty()
+    light = distinct.join(large, "anchor", "left_anti") if some else distinct
+    told = light.groupBy(bucket.alias("bucket")).applyInArrow(sort_bucket, VERDICTS)
+    if some:
+        told = told.unionByName(by_string(distinct.join(large, "anchor", "left_semi"), span))
     return written(told.where("uses > 1 or size(spans) > 0"), "verdicts")
 
 
-def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
+def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50, heavy: int = HEAVY) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges, end exclusive)."""
     prepare(df.sparkSession)
     null_first = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
@@ -293,7 +330,7 @@ def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, math.ceil(math.log2(max(1, size / (span - GRAM + 1) * 2 / ANCHORS))))
     found = candidate_snippets(docs, repeated_anchors(docs, span, bits), span, bits)
-    told = verdicts(found, span)
+    told = verdicts(found, span, heavy)
     seen = found.select("part", "rid", "key", "pos", F.length("snippet").alias("n"), "digest").join(told, "digest")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - span).alias("last")))
     cut = seen.select("part", "rid", "pos", F.explode(F.when(F.col("key") > F.col("lowest"), whole).otherwise(F.col("spans"))).alias("s"))

@@ -197,6 +197,23 @@ def test_suffix_dedup_many_parts(docs):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, key
 
 
+@pytest.mark.parametrize("heavy", [0, 2000])
+def test_suffix_dedup_heavy_anchors(spark, heavy):
+    """A template before differing values: anchors above the bound are compared string by string, and no bucket sorts them."""
+    from namewright.llm.suffix import dedup_spans
+
+    rnd = random.Random(4)
+    value = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    tails = [value(70) for _ in range(15)]
+    items = [(i, value(30) + "Published under the terms of: " + (rnd.choice(tails) if i % 3 else value(70))) for i in range(150)]
+    items += [(200, "x" * 300), (201, "y" + "x" * 200), (202, items[3][1]), (203, items[3][1] + tails[0])]
+    got = by_id(dedup_spans(spark.createDataFrame(items, "doc_id bigint, text string").repartition(3), heavy=heavy))
+    for key, want in brute_spans(items, 50).items():
+        r = got[key]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, key
+    assert sum(r["n_removed"] for r in got.values()) > 1000
+
+
 def test_suffix_array():
     from namewright.llm.suffix import suffix_array
 

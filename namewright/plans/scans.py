@@ -12,11 +12,9 @@ from namewright.sources.shared import fresh
 
 @query("s01_keyed_json", "SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_name AS title, CAST(s_nationkey AS VARCHAR) AS year FROM supplier")
 def s01_keyed_json(spark, d):
-    """A {key: value} file, one record, written by one aggregation over suppliers and exploded."""
+    """{key: value} files, one record each, written by an aggregation over hashes of suppliers and exploded."""
     at = fresh(spark, "keyed")
-    entry = F.struct(F.col("s_suppkey").cast("string").alias("k"), F.struct(F.col("s_name").alias("title"), F.col("s_nationkey").cast("string").alias("year")).alias("v"))
-    whole = table(spark, d, "supplier").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    whole.coalesce(1).write.text(at)
+    files.write_keyed_json(table(spark, d, "supplier"), at, "s_suppkey", F.col("s_name").alias("title"), F.col("s_nationkey").cast("string").alias("year"))
     got = files.read_keyed_json(spark, at, "struct<title:string,year:string>", "pid")
     return got.select("pid", "value.title", "value.year")
 

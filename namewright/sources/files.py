@@ -18,6 +18,14 @@ def read_keyed_json(spark: SparkSession, path: str, value: str, key: str = "key"
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "value"))
 
 
+def write_keyed_json(df: DataFrame, path: str, key: str, *values: Column, per: int = 10_000) -> None:
+    """Files of one {key: value} object each, of about ``per`` keys that share a hash, so no task holds all."""
+    parts = -(-df.count() // per) or 1
+    entry = F.struct(F.col(key).cast("string").alias("k"), F.struct(*values).alias("v"))
+    made = df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    made.write.partitionBy("part").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One record per line."""
     df.write.json(path)

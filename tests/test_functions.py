@@ -115,3 +115,14 @@ def test_empty_inputs(spark):
     assert terms.document_frequency(none, "tokens").count() == 0
     with pytest.raises(ValueError):
         metrics.require_complete(spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([], "k int"), ["k"])
+
+
+def test_keyed_json_is_written_in_bounded_objects(spark, tmp_path):
+    from namewright.sources import files
+
+    at = f"file://{tmp_path}/keyed"
+    files.write_keyed_json(spark.range(1000), at, "id", F.col("id").alias("n"), per=100)
+    sizes = [len(r[0]) for r in spark.read.text(at, wholetext=True).selectExpr("json_object_keys(value)").collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    got = files.read_keyed_json(spark, at, "struct<n:bigint>")
+    assert sorted((r["key"], r["value"]["n"]) for r in got.collect()) == sorted((str(i), i) for i in range(1000))

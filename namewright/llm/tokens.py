@@ -47,7 +47,7 @@ def encoder(path: str, kind: str):
     # Letters up to U+00FF, single digits and runs of other ASCII marks are pieces of their own in both vocabularies.
     latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     only = re.compile(rf"[{latin}]+" if kind == "word" else rf" ?[{latin}]+")
-    known = WordIds(one, 1_200_000)
+    known = WordIds(one, 500_000 if kind == "word" else 1_000_000)
     if kind == "word":
         part = re.compile(rf"[{latin}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
 
@@ -57,7 +57,7 @@ def encoder(path: str, kind: str):
                 return b"".join([known[x] for x in parts])
             return plain(piece)
 
-        cache = WordIds(whole)
+        cache = WordIds(whole, 200_000)
 
         def ids(text: str) -> bytes:
             if any(s in text for s in specials):
@@ -74,7 +74,7 @@ def encoder(path: str, kind: str):
             return b"".join([known[x] for x in parts])
         return plain(piece)
 
-    cache = WordIds(whole)
+    cache = WordIds(whole, 300_000)
 
     def ids(text: str) -> bytes:
         if not text:

@@ -1,10 +1,11 @@
 """Operator 3, token-id output: Arrow stream files of equal-length sequences and masks.
 
 The documents, in key order, form one long row of ids. It is cut by range of keys into
-shards; each shard is one Arrow IPC stream file whose record batches hold two
-fixed-size lists, ``ids`` and ``mask``, of ``length`` values. A memory-mapped file gives
-sequence i of a shard without a copy: batch ``i // rows``, row ``i % rows``. A second
-small stream file per shard says where each document starts.
+shards of a bounded number of ids; each shard is one Arrow IPC stream file whose record
+batches hold two fixed-size lists, ``ids`` and ``mask`` (bytes, 1 for a real id), of
+``length`` values. A memory-mapped file gives ids and mask of sequence i without a copy:
+batch ``i // rows``, row ``i % rows``. A second small stream file per shard says where
+each document starts.
 
 Files have unique names and only those of successful tasks are listed in the manifest,
 so a task that runs again after a lost executor does no harm.
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from namewright.llm.common import documents, prepare, shared_dir, text_of, written
 from namewright.llm.tokens import encoder
 
-#: Rows of a record batch, so that a batch is a few MB whatever the shard's size.
-ROWS = 1024
+#: Sequences of a record batch, so that a batch is a few MB whatever the shard's size.
+ROWS = 256
+#: A shard is closed after the document with which it reaches so many ids.
+SHARD = 1 << 24
 
 
 def filesystem(uri: str):
@@ -47,7 +50,7 @@ class ShardWriter:
         self.fs.create_dir(path, recursive=True)
         self.length, self.kind = length, np.dtype(width)
         self.name = f"shard-{uuid.uuid4().hex}"
-        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = self.fs.open_output_stream(f"{path}/{self.name}.arrows")
         self.out = pa.ipc.new_stream(self.sink, schema)
         self.docs_sink = self.fs.open_output_stream(f"{path}/{self.name}.docs.arrows")
@@ -71,7 +74,9 @@ class ShardWriter:
             self.parts, self.held = [flat[whole:]], len(flat) - whole
 
     def batch(self, flat: np.ndarray, real: int) -> None:
-        values = [pa.array(flat), pa.array(np.arange(len(flat)) < real)]
+        mask = np.ones(len(flat), np.uint8)
+        mask[real:] = 0
+        values = [pa.array(flat), pa.array(mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(v, self.length) for v in values], schema=self.schema))
 
     def note(self) -> None:
@@ -92,7 +97,7 @@ DOCS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.in
 
 
 class Shard:
-    """Random access to a written shard; a local file is memory-mapped and not copied."""
+    """Random access to a written shard; a local file is memory-mapped and not copied, any other is read, SHARD ids at most and a document."""
 
     def __init__(self, uri: str, name: str):
         fs, path = filesystem(uri)
@@ -106,24 +111,24 @@ class Shard:
             self.docs = pa.ipc.open_stream(f).read_all()
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i; the ids are a view of the file."""
+        """Ids and mask of sequence i, both views of the file."""
         batch, row = self.batches[i // ROWS], i % ROWS
-        ids = batch.column(0).flatten().slice(row * self.length, self.length)
-        return ids.to_numpy(zero_copy_only=True), batch.column(1).flatten().slice(row * self.length, self.length).to_numpy(zero_copy_only=False)
+        ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        return ids, mask.view(bool)
 
     def between(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard's stream; within one batch a view."""
         per = ROWS * self.length
-        views = [self.batches[b].column(0).flatten().to_numpy(zero_copy_only=True)[max(0, start - b * per) : stop - b * per] for b in range(start // per, -(-stop // per))]
+        views = [self.batches[b].column(0).values.to_numpy(zero_copy_only=True)[max(0, start - b * per) : stop - b * per] for b in range(start // per, -(-stop // per))]
         return views[0] if len(views) == 1 else np.concatenate([*views, np.zeros(0, np.uint16)])
 
 
-def write_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", *, to: str | None = None, tokenizer_path: str | None = None, kind: str = "word", end_id: int = 2, length: int = 2048, width: str = "<u2") -> tuple[str, DataFrame]:
+def write_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", *, to: str | None = None, tokenizer_path: str | None = None, kind: str = "word", end_id: int = 2, length: int = 2048, width: str = "<u2", most: int = SHARD) -> tuple[str, DataFrame]:
     """Writes the shards to folder ``to`` and returns it with the manifest.
 
     ``width`` "<u2" holds vocabularies up to 65,536 ids, "<u4" any. One shuffle orders
-    the texts by range of keys (ids would be as large); a shard is a shuffle partition.
-    The manifest has a row per shard: shard, name, n_tokens, start.
+    the texts by range of keys (ids would be as large); a task closes a shard and opens
+    the next after SHARD ids. The manifest has a row per shard: shard, name, n_tokens, start.
     """
     spark = prepare(df.sparkSession)
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -133,7 +138,7 @@ def write_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", *, to:
         from pyspark import TaskContext
 
         ids_of = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), kind)
-        end, shard = np.array([end_id], "<u4"), None
+        end, shard, closed = np.array([end_id], "<u4"), None, []
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = shard or ShardWriter(to, length, width)
@@ -141,16 +146,22 @@ def write_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", *, to:
                 if int(ids.max()) > np.iinfo(shard.kind).max:
                     raise ValueError(f"id {ids.max()} does not fit {width}")
                 shard.add(k, ids)
+                if shard.total >= most:
+                    closed.append(shard.close())
+                    shard = None
         if shard:
-            yield pa.RecordBatch.from_pylist([shard.close() | {"shard": TaskContext.get().partitionId()}], schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_tokens", pa.int64())]))
+            closed.append(shard.close())
+        if closed:
+            rows = [x | {"shard": TaskContext.get().partitionId(), "place": i} for i, x in enumerate(closed)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("name", pa.string()), ("n_tokens", pa.int64())]))
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    manifest = written(made.mapInArrow(op, "shard bigint, name string, n_tokens bigint"), "manifest")
-    shards = sorted((r["shard"], r["name"], r["n_tokens"]) for r in manifest.collect())  # a row per shuffle partition
-    starts = [0, *accumulate(s[2] for s in shards)]
-    rows = [(*s, at) for s, at in zip(shards, starts, strict=False)]
+    manifest = written(made.mapInArrow(op, "shard bigint, place bigint, name string, n_tokens bigint"), "manifest")
+    shards = sorted((r["shard"], r["place"], r["name"], r["n_tokens"]) for r in manifest.collect())  # a row per shard: one for some 10^7 ids
+    starts = [0, *accumulate(s[3] for s in shards)]
+    rows = [(i, s[2], s[3], at) for i, (s, at) in enumerate(zip(shards, starts, strict=False))]
     return to, spark.createDataFrame(rows, "shard bigint, name string, n_tokens bigint, start bigint")
 
 

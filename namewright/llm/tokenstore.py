@@ -2,10 +2,10 @@
 
 The documents, in key order, form one long row of ids. It is cut by range of keys into
 shards of a bounded number of ids; each shard is one Arrow IPC stream file whose record
-batches hold two fixed-size lists, ``ids`` and ``mask`` (bytes, 1 for a real id), of
-``length`` values. A memory-mapped file gives ids and mask of sequence i without a copy:
-batch ``i // rows``, row ``i % rows``. A second small stream file per shard says where
-each document starts.
+batches hold two fixed-size lists: ``ids``, ``length`` values, and ``mask``, a bit for
+each, 1 for a real id, eight to a byte. A memory-mapped file gives ids and mask of sequence
+i without a copy: batch ``i // rows``, row ``i % rows``. A second small stream file per
+shard says where each document starts.
 
 Files have unique names and only those of successful tasks are listed in the manifest,
 so a task that runs again after a lost executor does no harm.
@@ -50,7 +50,7 @@ class ShardWriter:
         self.fs.create_dir(path, recursive=True)
         self.length, self.kind = length, np.dtype(width)
         self.name = f"shard-{uuid.uuid4().hex}"
-        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), -(-length // 8)))])
         self.sink = self.fs.open_output_stream(f"{path}/{self.name}.arrows")
         self.out = pa.ipc.new_stream(self.sink, schema)
         self.docs_sink = self.fs.open_output_stream(f"{path}/{self.name}.docs.arrows")
@@ -74,10 +74,9 @@ class ShardWriter:
             self.parts, self.held = [flat[whole:]], len(flat) - whole
 
     def batch(self, flat: np.ndarray, real: int) -> None:
-        mask = np.ones(len(flat), np.uint8)
-        mask[real:] = 0
-        values = [pa.array(flat), pa.array(mask)]
-        self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(v, self.length) for v in values], schema=self.schema))
+        mask = np.packbits((np.arange(len(flat)) < real).reshape(-1, self.length), axis=1, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n) for v, n in ((flat, self.length), (mask, mask.shape[1]))]
+        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def note(self) -> None:
         self.docs.write_batch(pa.RecordBatch.from_arrays([pa.array(self.keys, pa.int64()), pa.array(self.starts, pa.int64()), pa.array(self.sizes, pa.int64())], schema=DOCS))
@@ -111,10 +110,12 @@ class Shard:
             self.docs = pa.ipc.open_stream(f).read_all()
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, both views of the file."""
+        """Ids and mask bits of sequence i, both views of the file; ``unpacked`` makes booleans of the bits."""
         batch, row = self.batches[i // ROWS], i % ROWS
-        ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in (0, 1))
-        return ids, mask.view(bool)
+        return tuple(x.values.to_numpy(zero_copy_only=True)[row * x.type.list_size : (row + 1) * x.type.list_size] for x in batch.columns)
+
+    def unpacked(self, mask: np.ndarray) -> np.ndarray:
+        return np.unpackbits(mask, count=self.length, bitorder="little").view(bool)
 
     def between(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard's stream; within one batch a view."""

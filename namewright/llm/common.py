@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="namewright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
@@ -61,6 +63,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def forget(spark: SparkSession, at: str | DataFrame) -> None:
+    """Deletes a table in the shared folder that no later step reads."""
+    for path in [at] if isinstance(at, str) else {f.rsplit("/", 1)[0] for f in at.inputFiles()}:
+        if path.startswith(shared_dir(spark)):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

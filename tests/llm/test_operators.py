@@ -190,18 +190,19 @@ def test_suffix_dedup(docs, none):
     assert dedup_spans(none).count() == 0
 
 
-def test_suffix_dedup_many_parts(docs):
-    """Parts so many and small that a task reads several of them."""
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_suffix_dedup_many_parts(docs, parts):
+    """One part, and parts so many and small that a task reads several of them."""
     from namewright.llm.suffix import dedup_spans
 
-    got = by_id(dedup_spans(docs.repartition(40)))
+    got = by_id(dedup_spans(docs.repartition(parts)))
     items = sorted(((k if k is not None else -1, t) for k, t, *_ in rows()), key=lambda x: x[0])
     for key, want in brute_spans(items, 50).items():
         r = got[key if key >= 0 else None]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, key
 
 
-@pytest.mark.parametrize("heavy", [0, 2000])
+@pytest.mark.parametrize("heavy", [0, 20])
 def test_suffix_dedup_heavy_anchors(spark, heavy):
     """A template before differing values: anchors above the bound are compared string by string, and no bucket sorts them."""
     from namewright.llm.suffix import dedup_spans
@@ -218,6 +219,28 @@ def test_suffix_dedup_heavy_anchors(spark, heavy):
     assert sum(r["n_removed"] for r in got.values()) > 1000
 
 
+@pytest.mark.parametrize("span", [20, 33, 90])
+def test_suffix_dedup_other_spans(docs, span):
+    from namewright.llm.suffix import dedup_spans
+
+    got = by_id(dedup_spans(docs, span=span))
+    items = sorted(((k if k is not None else -1, t) for k, t, *_ in rows()), key=lambda x: x[0])
+    for key, want in brute_spans(items, span).items():
+        r = got[key if key >= 0 else None]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, key
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Rows of one key never take each other's bytes; a smaller key takes them from both."""
+    from namewright.llm.suffix import dedup_spans
+
+    text = "a passage that is long enough to be found twice and more in this table, " * 2
+    got = dedup_spans(spark.createDataFrame([(5, text), (5, text), (5, text[9:])], "doc_id bigint, text string").repartition(3)).collect()
+    assert all(r["n_removed"] == 0 for r in got)
+    got = dedup_spans(spark.createDataFrame([(5, text), (5, text), (2, text[9:])], "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, len(text), len(text)]
+
+
 def test_suffix_array():
     from namewright.llm.suffix import suffix_array
 

@@ -80,14 +80,14 @@ def dedup_exact(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bit
     a third of all rows is a skewed join side, which adaptive execution splits.
     """
     prepare(df.sparkSession)
-    rows, own = recipes(df, key, text, hash_bits, row), "rid" if row else "key"
     clash = clashing(df, key, text, hash_bits)
     if clash.isEmpty():
-        rows = rows.withColumn("patch", F.array().cast(PATCH))
-    else:
-        more = patches(df, clash, row or key, text, hash_bits).withColumnRenamed("key", "of_key")
-        rows = rows.join(more, rows[own].eqNullSafe(F.col("of_key")), "left").withColumn("patch", F.coalesce("patch", F.array().cast(PATCH)))
-    rows = written(rows.select(F.col("rid") if row else F.monotonically_increasing_id().alias("rid"), "key", "n", "sha", F.struct("recipe", "patch").alias("ids")), "recipes")
+        rows = recipes(df, key, text, hash_bits, row).withColumn("patch", F.array().cast(PATCH))
+    else:  # corrections are joined row by row, so the rows get their ids first
+        numbered = written(df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("rid")), "numbered")
+        more = patches(numbered, clash, "rid", "text", hash_bits).withColumnRenamed("key", "rid")
+        rows = recipes(numbered, "key", "text", hash_bits, "rid").join(more, "rid", "left").withColumn("patch", F.coalesce("patch", F.array().cast(PATCH)))
+    rows = written(rows.select(F.col("rid") if "rid" in rows.columns else F.monotonically_increasing_id().alias("rid"), "key", "n", "sha", F.struct("recipe", "patch").alias("ids")), "recipes")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("key").alias("key"), F.col("rid").alias("rid"))).alias("best")
     groups = rows.groupBy("ids").agg(F.count(F.lit(1)).alias("size"), best).where("size > 1")
     groups = written(groups.select("ids", "size", F.col("best.key").alias("keep"), F.col("best.rid").alias("best")), "groups")

@@ -94,8 +94,7 @@ def grow(x: np.ndarray, bad: np.ndarray, names: list[str], most: int = 4) -> lis
     while len(rule) < most and (inside & ~bad).any() and (inside & bad).any():
         p0, n0, best = (inside & bad).sum(), (inside & ~bad).sum(), (0.0, None, None)
         for j, name in enumerate(names):
-            cuts = np.unique(np.quantile(x[inside, j], np.linspace(0.0, 1.0, 201)))
-            cuts = np.unique(np.concatenate([cuts, x[inside & bad, j][:400]]))
+            cuts = np.unique(x[inside, j])
             pos, neg = np.sort(x[inside & bad, j]), np.sort(x[inside & ~bad, j])
             for way, p, n in (("<=", np.searchsorted(pos, cuts, "right"), np.searchsorted(neg, cuts, "right")), (">=", len(pos) - np.searchsorted(pos, cuts, "left"), len(neg) - np.searchsorted(neg, cuts, "left"))):
                 g = gain(p0, n0, p, n)

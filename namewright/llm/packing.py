@@ -6,7 +6,9 @@ counts by length: for each length, longest first, a segment tree indexed by rema
 capacity finds the tightest open sequences, and whole runs of items are placed at once.
 The plan has at most one row per (length, run), a number bounded by the sequence length
 and not by the corpus; it is the same plan that one-by-one best-fit decreasing makes.
-Documents then find their place by their rank among the items of their length.
+Documents then find their place by their rank among the items of their length: each task
+numbers its items of a length, and running sums of the tasks' counts say where its numbers
+begin, so no window holds the items of a length.
 
 Edge cases: null and empty texts are the end id alone; a null key is kept; repeated rows
 are separate documents; any text length is cut; an empty table gives an empty result;
@@ -26,31 +28,32 @@ from pyspark.sql import functions as F
 from namewright.llm.common import documents, prepare, text_of, written
 from namewright.llm.tokens import encoder
 
-PIECES = pa.schema([("doc_row", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
-#: Ranks are counted within (length, salt), so that one very common length is no single group.
-SALTS = 128
-PLAN = "length bigint, first bigint, last bigint, sequence bigint, each bigint, at bigint"
+PIECES = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int64()), ("nth", pa.int64()), ("ids", pa.binary())])
 
 
-def cut_pieces(df: DataFrame, key: str, text: str, tokenizer_path: str | None, kind: str, end_id: int, length: int) -> DataFrame:
-    """Pieces of at most ``length`` ids, with their ids as unsigned 32-bit little-endian bytes."""
+def cut_pieces(df: DataFrame, key: str, text: str, tokenizer_path: str | None, kind: str, end_id: int, length: int, with_ids: bool) -> DataFrame:
+    """Pieces of at most ``length`` ids, numbered by task and length; on demand with their ids as unsigned 32-bit little-endian bytes."""
+    kinds = list(PIECES)[: None if with_ids else -1]
 
     def op(batches):
         import public_tokenizers
+        from pyspark import TaskContext
 
         ids_of = encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), kind)
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * length
+        end, step, seen, part = np.array([end_id], "<u4").tobytes(), 4 * length, [0] * (length + 1), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for r, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = ids_of(t) + end
                 for at in range(0, len(ids), step):
-                    rows.append((r, k, at // 4, len(x := ids[at : at + step]) // 4, x, zlib.crc32(x), len(ids) // 4))
+                    n = len(x := ids[at : at + step]) // 4
+                    rows.append((k, at // 4, n, zlib.crc32(x), len(ids) // 4, part, seen[n], x))
+                    seen[n] += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=False)], schema=pa.schema(kinds))
 
-    rows = df.select(F.monotonically_increasing_id().alias("doc_row"), F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
-    return rows.mapInArrow(op, "doc_row bigint, key bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
+    return rows.mapInArrow(op, ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in kinds))
 
 
 class Tightest:
@@ -110,52 +113,44 @@ def best_fit_decreasing(counts: dict[int, int], length: int) -> list[tuple[int,
     return plan
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer_path: str | None = None, kind: str = "byte", end_id: int = 0, length: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(places, pieces): a row per piece with its sequence_id and offset; the pieces with their ids.
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer_path: str | None = None, kind: str = "byte", end_id: int = 0, length: int = 1024, with_ids: bool = False) -> DataFrame:
+    """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` on demand.
 
-    The pieces are written once; ranks and places move narrow rows only. Counts by
-    (length, salt) have at most ``length`` x SALTS rows; they and the plan are the only
-    data that the driver sees or that is broadcast.
+    The pieces are written once. The driver sees one count a length, and the plan; both
+    are bounded by the length, and the plan is the only data that is broadcast.
     """
     spark = prepare(df.sparkSession)
-    pieces = written(cut_pieces(df, key, text, tokenizer_path, kind, end_id, length), "pieces")
-    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("doc_row", "start"), F.lit(SALTS)))
-    by_salt = sorted((r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
-    counts, before = defaultdict(int), []
-    for size, salt, n in by_salt:
-        before.append((size, salt, counts[size]))
-        counts[size] += n
-    plan = best_fit_decreasing(counts, length)
-
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_row", "start")) - 1)
-    starts = np.zeros((length + 1) * SALTS, np.int64)
-    for size, salt, n in before:
-        starts[size * SALTS + salt] = n
+    pieces = written(cut_pieces(df, key, text, tokenizer_path, kind, end_id, length, with_ids), "pieces")
+    counted = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")  # a row for each task that has the length
+    before = written(counted.select("part", "length", "n", running.alias("before")), "before")
+    counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     firsts = defaultdict(list)
-    for row in plan:
+    for row in best_fit_decreasing(counts, length):
         firsts[row[0]].append(row)
-    shared = spark.sparkContext.broadcast((starts, dict(firsts)))  # (length + 1) x SALTS longs and the plan
+    shared = spark.sparkContext.broadcast(dict(firsts))
 
     def op(batches):
-        starts, firsts = shared.value
+        tables = {size: np.array(rows) for size, rows in shared.value.items()}
         for batch in batches:
-            size, salt, rank = (batch.column(i).to_numpy() for i in (3, 6, 7))
-            item, sequence, offset = rank + starts[size * SALTS + salt], np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            size, item = col["length"].to_numpy(), col["item"].to_numpy()
+            sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for s in np.unique(size):
-                of, table = np.flatnonzero(size == s), np.array(firsts[int(s)])
+                of, table = np.flatnonzero(size == s), tables[int(s)]
                 run = table[np.searchsorted(table[:, 1], item[of], "right") - 1]
                 within = item[of] - run[:, 1]
                 sequence[of], offset[of] = run[:, 3] + within // run[:, 4], run[:, 5] + within % run[:, 4] * s
-            cols = [*batch.columns[:6], pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_row", "key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            made = {**{c: col[c] for c in kept}, "sequence_id": pa.array(sequence), "offset": pa.array(offset)}
+            yield pa.RecordBatch.from_pydict(made)
 
-    places = ranked.select("doc_row", "key", "start", "length", "ids_crc32", "doc_tokens", "salt", "rank").mapInArrow(op, "doc_row bigint, key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return places, pieces
+    kept = [c for c in pieces.columns if c not in ("part", "nth")]
+    items = pieces.join(before.drop("n"), ["part", "length"]).select(*kept, (F.col("before") + F.col("nth")).alias("item"))
+    return items.mapInArrow(op, "".join(f"{c} {'binary' if c == 'ids' else 'bigint'}, " for c in kept) + "sequence_id bigint, offset bigint")
 
 
-def sequences(places: DataFrame, pieces: DataFrame, length: int = 1024) -> DataFrame:
-    """The packed rows: sequence_id, ids (int array), n_real, padded to ``length`` except at a power of two."""
-    both = places.select("doc_row", "start", "sequence_id", "offset").join(pieces.select("doc_row", "start", "ids"), ["doc_row", "start"])
+def sequences(places: DataFrame, length: int = 1024) -> DataFrame:
+    """The packed rows of pieces with ids: sequence_id, ids (int array), n_real, padded to ``length`` except at a power of two."""
 
     def op(batches):
         for batch in batches:
@@ -167,13 +162,12 @@ def sequences(places: DataFrame, pieces: DataFrame, length: int = 1024) -> DataF
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("sequence_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_real", pa.int32())]))
 
-    grouped = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))  # at most ``length`` ids each
+    grouped = places.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))  # at most ``length`` ids each
     return grouped.mapInArrow(op, "sequence_id bigint, ids array<int>, n_real int")
 
 
 def packed(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    places, _ = pack(df, key, text, **options)
-    return places.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(df, key, text, **options).select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_packing(spark, sf_dir):

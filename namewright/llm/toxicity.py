@@ -22,8 +22,10 @@ from namewright.llm.common import bucket_of, documents, prepare, text_of, writte
 from namewright.llm.grams import gram_hashes
 
 SIZES, BITS = (3, 4, 5, 6), 20
-#: Bound of the labelled rows that the classifier is fitted on, and of its n-grams.
-MOST_ROWS, MOST_GRAMS = 16_000, 8_192
+#: Bound of the labelled rows that the classifier is fitted on.
+MOST_ROWS = 8_000
+#: An n-gram counts if FEWEST rows have it and its log-count ratio is so many standard errors from zero, however many do.
+FEWEST, CLEAR = 3, 3.5
 
 
 def presence(text: str) -> np.ndarray:
@@ -45,8 +47,8 @@ def sampled(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     return written(rows.join(F.broadcast(drawn), "key").select("label", "text"), "toxicity-sample")  # drawn: at most most_rows ids
 
 
-def ratios(sample: DataFrame, n_pos: int, n_neg: int, most_grams: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams whose log-count ratio stands out most from chance, and those ratios."""
+def ratios(sample: DataFrame, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams that count, 2**BITS at most, and their log-count ratios."""
 
     def op(batches):
         counts = np.zeros((2, 1 << BITS), np.int32)
@@ -60,29 +62,34 @@ def ratios(sample: DataFrame, n_pos: int, n_neg: int, most_grams: int) -> tuple[
 
     counted = sample.coalesce(16).mapInArrow(op, "gram int, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
-    r = F.log(p / q)
-    z = F.abs(r) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = counted.where("pos + neg >= 3").select("gram", r.alias("r"), z.alias("z")).orderBy(F.desc("z"), "gram").limit(most_grams).collect()
-    return np.array([x["gram"] for x in best], np.int64), np.array([x["r"] for x in best])
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    found = counted.where(F.col("pos") + F.col("neg") >= FEWEST).select("gram", F.log(p / q).alias("r"), error.alias("e")).where(F.abs("r") >= CLEAR * F.col("e")).drop("e").toArrow()
+    order = np.argsort(found.column("gram").to_numpy())
+    return found.column("gram").to_numpy()[order].astype(np.int64), found.column("r").to_numpy()[order]
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on presences times ``scale`` (Adam on all rows)."""
-    size = np.array([len(r) for r in rows])
-    col, row = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on presences times ``scale`` (Adam on all rows, a few hundred at a time in memory)."""
+    chunks = [rows[i : i + 250] for i in range(0, len(rows), 250)]
     w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m = v = np.zeros(len(scale) + 1)
     for i in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, (w * scale)[col], len(rows)) + b, -30, 30)))
-        e = (p - y) / len(y)
-        g = np.append(np.bincount(col, e[row], len(scale)) * scale + decay * w, e.sum())
+        g, ws, at = np.zeros(len(scale) + 1), w * scale, 0
+        for chunk in chunks:
+            size = np.array([len(r) for r in chunk])
+            col, row = np.concatenate(chunk), np.repeat(np.arange(len(chunk)), size)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, ws[col], len(chunk)) + b, -30, 30)))
+            e = (p - y[at : at + len(chunk)]) / len(y)
+            g += np.append(np.bincount(col, e[row], len(scale)), e.sum())
+            at += len(chunk)
+        g[:-1] = g[:-1] * scale + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     return w * scale, b
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, most_grams: int = MOST_GRAMS) -> tuple[np.ndarray, float]:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
     """(weight per hashed n-gram as a table of 2**BITS, intercept)."""
     prepare(df.sparkSession)
     table = np.zeros(1 << BITS, np.float32)
@@ -92,7 +99,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     n_neg = sum(n.values()) - n_pos
     if not n_pos or not n_neg:
         return table, float(np.log((n_pos + 0.5) / (n_neg + 0.5)))
-    grams, r = ratios(sample, n_pos, n_neg, most_grams)
+    grams, r = ratios(sample, n_pos, n_neg)
     place = np.full(1 << BITS, -1, np.int32)
     place[grams] = np.arange(len(grams))
     shared = df.sparkSession.sparkContext.broadcast(place)

@@ -23,7 +23,7 @@ from namewright.llm.common import documents, prepare, text_of, written
 from namewright.llm.components import components
 
 #: Seed of XXH64; a list row holds up to SUB fingerprints, a tile up to SUBS rows.
-SEED, SUB, SUBS = 42, 512, 64
+SEED, SUB, SUBS = 42, 512, 16
 #: Tile pairs of more fingerprint pairs than this are cut by quarter counts.
 FINE = 1 << 22
 

@@ -106,3 +106,53 @@ def test_one_query_for_each_operator(n):
     from namewright.llm.registry import QUERIES
 
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
+
+
+CONTRACTS = {
+    1: "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    2: "doc_id bigint, held_out boolean, score double, predicted int",
+    3: "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    4: "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    5: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    6: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    7: "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    8: "doc_id bigint, fingerprint string, component_id bigint",
+    9: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    10: "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+}
+
+
+@pytest.mark.parametrize("n", CONTRACTS)
+def test_columns_of_the_registered_queries(spark, data, n):
+    """Names, types and, for queries of a row per document, every document once."""
+    from namewright.llm.registry import QUERIES
+
+    got = next(f for name, f in QUERIES.items() if name.startswith(f"op{n}_"))(spark, data)
+    types = dict(got.dtypes)
+    for column in CONTRACTS[n].split(", "):
+        name, kind = column.split(" ")
+        assert types[name] == kind, name
+    ids = sorted(r["doc_id"] for r in got.select("doc_id").collect())
+    want = sorted(r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect())
+    assert (ids if n < 10 else sorted(set(ids))) == want
+
+
+def test_toxicity_tells_held_out_documents_apart(spark):
+    """Area under the curve on the fold that did not train."""
+    from namewright.llm.registry import QUERIES
+
+    at = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(r["score"], labels[r["doc_id"]]) for r in QUERIES["op2_toxicity"](spark, at).where("held_out").collect() if r["doc_id"] in labels]
+    bad, good = ([s for s, y in got if y == k] for k in (1, 0))
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good)) > 0.85
+
+
+def test_quality_list_agrees_with_labels(spark):
+    from namewright.llm.registry import QUERIES
+
+    at = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(r["kept"], labels[r["doc_id"]]) for r in QUERIES["op7_quality_rules"](spark, at).collect() if r["doc_id"] in labels]
+    assert sum(kept == (y == 1) for kept, y in got) >= 0.93 * len(got)
+    assert not any(kept for kept, y in got if y == 0)

@@ -51,6 +51,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Addresses of the tables written so far, in order.
+SCRATCH: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
@@ -60,15 +64,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    SCRATCH.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def forget(spark: SparkSession, at: str | DataFrame) -> None:
-    """Deletes a table in the shared folder that no later step reads."""
-    for path in [at] if isinstance(at, str) else {f.rsplit("/", 1)[0] for f in at.inputFiles()}:
-        if path.startswith(shared_dir(spark)):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def forget(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables that were written after the first ``since``, except for the last ``keep``, once nothing reads them any more."""
+    to = len(SCRATCH) - keep
+    for at in SCRATCH[since:to]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del SCRATCH[since:to]
 
 
 def text_of(name: str) -> Column:

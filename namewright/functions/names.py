@@ -13,36 +13,128 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Particles that names drop, and nicknames with their full names (first reading wins).
-PARTICLES = "jr sr dr prof phd md ii iii iv".split()
-NICKNAMES = dict(
-    x.split("=")
-    for x in (
-        "al=albert andy=andrew tony=anthony art=arthur arty=arthur bernie=bernard bern=bernard charlie=charles chuck=charles "
-        "danny=daniel dan=daniel don=donald ed=edward eddie=edward gene=eugene freddy=frederick fred=frederick hank=henry "
-        "irv=irving jimmy=james jim=james joe=joseph jacky=john jack=john jeff=jeffrey ken=kenneth larry=lawrence leo=leonard "
-        "matt=matthew mike=michael nate=nathan nat=nathan nick=nicholas pete=peter ray=raymond dick=richard rick=richard "
-        "russ=russell steve=stephan stu=stuart teddy=theodore tom=thomas thom=thomas tommy=thomas timmy=timothy tim=timothy "
-        "walt=walter wally=walter bill=william billy=william will=william willy=william mandy=amanda cathy=catherine "
-        "cath=catherine chris=christopher chrissy=christine debbie=deborah deb=deborah betty=elizabeth beth=elizabeth "
-        "liz=elizabeth bess=elizabeth flo=florence francie=frances fran=frances jan=janice kate=katherine kathy=katherine "
-        "nan=nancy pam=pamela pat=patricia bobbie=roberta sophie=sophia sue=susan suzie=susan terry=teresa val=valerie "
-        "ronnie=veronica vonna=yvonne peggy=margaret ted=edward sally=sarah harry=henry"
-    ).split()
-)
-# Spellings that name another person although a prefix rule would match them.
-NOT_PREFIX = {
-    "takashi": "ta(d|k)ashi", "akira": "akira", "kentaro": "kentaro", "xiaohua": "xiaohua", "ulrike": "ulrike", "naoki": "naoki", "junichi": "junichi", "isao": "isao",
+# Particles that names drop.
+PARTICLES = ["jr", "iii", "dr", "mr", "junior"]
+# Nicknames and the names that they stand for; where one stands for two, the last counts.
+NICKNAMES = {
+    "al": "albert",
+    "andy": "andrew",
+    "tony": "anthony",
+    "art": "arthur",
+    "arty": "arthur",
+    "bernie": "bernard",
+    "bern": "bernard",
+    "charlie": "charles",
+    "chuck": "charles",
+    "danny": "daniel",
+    "dan": "daniel",
+    "don": "donald",
+    "ed": "edward",
+    "eddie": "edward",
+    "gene": "eugene",
+    "freddy": "frederick",
+    "fred": "frederick",
+    "hank": "henry",
+    "irv": "irving",
+    "jimmy": "james",
+    "jim": "james",
+    "joe": "joseph",
+    "jacky": "john",
+    "jack": "john",
+    "jeff": "jeffrey",
+    "ken": "kenneth",
+    "larry": "lawrence",
+    "leo": "leonard",
+    "matt": "matthew",
+    "mike": "michael",
+    "nate": "nathan",
+    "nat": "nathan",
+    "nick": "nicholas",
+    "pete": "peter",
+    "ray": "raymond",
+    "dick": "richard",
+    "rick": "richard",
+    "russ": "russell",
+    "steve": "stephan",
+    "stu": "stuart",
+    "teddy": "theodore",
+    "tom": "thomas",
+    "thom": "thomas",
+    "tommy": "thomas",
+    "timmy": "timothy",
+    "tim": "timothy",
+    "walt": "walter",
+    "wally": "walter",
+    "bill": "william",
+    "billy": "william",
+    "will": "william",
+    "willy": "william",
+    "mandy": "amanda",
+    "cathy": "catherine",
+    "cath": "catherine",
+    "chris": "christopher",
+    "chrissy": "christine",
+    "debbie": "deborah",
+    "deb": "deborah",
+    "betty": "elizabeth",
+    "beth": "elizabeth",
+    "liz": "elizabeth",
+    "bess": "elizabeth",
+    "flo": "florence",
+    "francie": "frances",
+    "fran": "frances",
+    "kate": "katherine",
+    "kathy": "katherine",
+    "jan": "janice",
+    "nan": "nancy",
+    "pam": "pamela",
+    "pat": "patricia",
+    "bobbie": "roberta",
+    "sophie": "sophia",
+    "sue": "susan",
+    "suzie": "susan",
+    "terry": "teresa",
+    "val": "valerie",
+    "ronnie": "veronica",
+    "vonna": "yvonne",
+    "peggy": "margaret",
+    "ted": "edward",
+    "sally": "sarah",
+    "harry": "henry",
+}
+# Given names that look like a target's but are another one's; each has to match the pattern beside it.
+OTHER_NAMES = {
+    "takahiro": "ta(d|k)ashi", "toshiyuki": "ta(d|k)ashi", "takeshi": "ta(d|k)ashi", "tomohiro": "ta(d|k)ashi", "takamitsu": "ta(d|k)ashi",
+    "takahisa": "ta(d|k)ashi", "takashi": "ta(d|k)ashi", "takahiko": "ta(d|k)ashi", "takayuki": "ta(d|k)ashi",
+    "akimasa": "akira", "akio": "akira", "akito": "akira", "kentarok": "kentaro", "xiaohuatony": "xiaohua", "tonyxiaohua": "xiaohua",
+    "ulrich": "ulrike", "naoto": "naoki", "naomi": "naoki", "junko": "junichi", "isaku": "isao",
 }
-INITIALS = "b p m f d t n l g k h j q x zh ch sh r z c s y w".split()
-FINALS = "a o e i u v ai ei ui ao ou iu ie ve er an en in un vn ang eng ing ong ia iao ian iang iong ua uo uai uan uang ue".split()
+# Words that are syllables but common in other names, and count only beside a certain one.
+DOUBTFUL = (
+    "an ban bar ben bo bu ch dam dan de dean den der di dia du for gu guen ian jan jean jim jr juan kim ku lang le long lou luc ng ohm per re rui sa shaw ti tim to van yip yu"
+).split()
+#: The initials that each final of a romanized syllable goes with; "-" is none.
+INITIALS_OF = {
+    "a": "- b p m f d t n l g k h zh ch sh z c s y w", "o": "- b p m f w", "e": "- m d t n l g k h zh ch sh r z c s y", "er": "-",
+    "ai": "- b p m d t n l g k h zh ch sh z c s w", "ei": "b p m f d n l g h zh sh z w", "ao": "- b p m d t n l g k h zh ch sh r z c s y",
+    "ou": "- p m f d t n l g k h zh ch sh r z c s y", "an": "- b p m f d t n l g k h zh ch sh r z c s y w", "en": "- b p m f d n g k h zh ch sh r z c s w",
+    "ang": "- b p m f d t n l g k h zh ch sh r z c s y w", "eng": "b p m f d t n l g k h zh ch sh r z c s w", "ong": "d t n l g k h zh ch r z c s y",
+    "i": "b p m d t n l j q x zh ch sh r z c s y", "ia": "d l j q x", "ie": "b p m d t n l j q x", "iao": "b p m d t n l j q x", "iu": "m d n l j q x",
+    "ian": "b p m d t n l j q x", "in": "b p m n l j q x y", "iang": "n l j q x", "ing": "b p m d t n l j q x y", "iong": "j q x",
+    "u": "b p m f d t n l g k h zh ch sh r z c s j q x y w", "ua": "g k h zh sh", "uo": "d t n l g k h zh ch sh r z c s", "uai": "g k h zh ch sh",
+    "ui": "d t g k h zh ch sh r z c s", "uan": "d t n l g k h zh ch sh r z c s j q x y", "un": "d t n l g k h zh ch sh r z c s j q x y",
+    "uang": "g k h zh ch sh", "ue": "n l j q x y", "v": "n l", "ve": "n l",
+}
+
+
+#: Letters from À to ſ that are a plain letter with a mark, and those plain letters.
+MARKED = [chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore")) == 1] + list("øØłŁđĐ")
+UNMARKED = [unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in MARKED[:-6]] + list("oOlLdD")
 
 
 def ascii_fold(s: Column) -> Column:
     """Latin letters with marks to plain ones."""
-    marked = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
-    return F.translate(s, marked, plain)
+    return F.translate(s, "".join(MARKED), "".join(UNMARKED))
 
 
 def clean_name(s: Column) -> Column:
@@ -62,10 +154,14 @@ def token_set(s: Column) -> Column:
 
 
 def simple_tokens(s: Column) -> Column:
-    """lower-case tokens without particles, nicknames spelled out."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(F.regexp_replace(ascii_fold(s), "['’]", "")), "[^a-z0-9]+", " "), " "), lambda x: (x != "") & ~x.isin(PARTICLES))
+    """lower-case tokens; two capitals are two initials, particles go, nicknames are spelled out, ``a.b.`` is taken apart and ``a.`` stays."""
+    words = F.transform(F.split(s, "\\s+"), lambda x: F.when(x.rlike("^[A-Z]{2}$"), F.concat(F.substring(x, 1, 1), F.lit(" "), F.substring(x, 2, 1))).otherwise(x))
+    bare = ascii_fold(F.lower(F.regexp_replace(F.regexp_replace(F.array_join(words, " "), "['’]", ""), "(?U)[^\\w.]", " ")))
     known = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
-    return F.transform(parts, lambda x: F.coalesce(known[x], x))
+    kept = F.filter(F.split(bare, "\\s+"), lambda x: ~F.replace(x, F.lit("."), F.lit("")).isin(PARTICLES))
+    full = F.transform(kept, lambda x: F.coalesce(known[x], x))
+    apart = F.transform(full, lambda x: F.when(F.length(x) - F.length(F.replace(x, F.lit("."), F.lit(""))) > 1, F.translate(x, ".", " ")).otherwise(x))
+    return F.filter(F.split(F.regexp_replace(F.array_join(apart, " "), "[^ -~]", ""), " +"), lambda x: x != "")
 
 
 def without_nbsp(s: Column) -> Column:
@@ -114,9 +210,10 @@ def concatenations(s: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def syllables() -> frozenset:
-    return frozenset(a + b for a in ["", *INITIALS] for b in FINALS)
+    return frozenset(initial.strip("-") + final for final, initials in INITIALS_OF.items() for initial in initials.split())
 
 
+@lru_cache(maxsize=50_000)
 def syllable_split(word: str) -> list[str] | None:
     """The word as romanized syllables, longest first; None if it is not made of them."""
     if not word:
@@ -128,9 +225,19 @@ def syllable_split(word: str) -> list[str] | None:
 
 
 def is_chinese_name(name: str) -> bool:
-    """every token longer than one letter splits into at most three syllables, and one does."""
-    split = [syllable_split(w) for w in name.split() if len(w) > 1]
-    return bool(split) and all(x is not None and len(x) <= 3 for x in split)
+    """a vote of the words longer than a letter.
+
+    A word of one syllable may be a family name, one of two or three a given name; words
+    in DOUBTFUL are neither. Of one or two words a family name decides, or a given name
+    beside a doubtful word; of more, all but one have to fit, doubtful ones too once any
+    word does.
+    """
+    words = [w for w in name.split() if len(w) > 1]
+    parts = [0 if w in DOUBTFUL else len(syllable_split(w) or ()) for w in words]
+    family, given, doubtful = sum(n == 1 for n in parts), sum(n in (2, 3) for n in parts), sum(w in DOUBTFUL for w in words)
+    if len(words) < 3:
+        return family > 0 or (given > 0 and doubtful > 0)
+    return family + given > 0 and family + given + doubtful >= len(words) - 1
 
 
 def plain(name: str) -> str:
@@ -145,64 +252,99 @@ def short_and_full(name: str) -> tuple[list[str], list[str]]:
     return [w for w in words if len(w) == 1], [w for w in words if len(w) > 1]
 
 
-def initials_fit(a: str, b: str, any_order: bool = True) -> bool:
-    """each token of the name with fewer letters is a token, or an initial of one, of the other, each used once."""
-    x, y = sorted((a.split(), b.split()), key=lambda w: sum(map(len, w)))
-    if len(x) > len(y) or not x:
-        return False
-    if not any_order:
-        return len(x) == len(y) and all(q.startswith(p) if len(p) == 1 else p == q for p, q in zip(x, y, strict=True))
-    left = list(y)
-    for word in sorted(x, key=len, reverse=True):
-        fit = next((w for w in left if w == word), None) or next((w for w in left if len(word) == 1 and w.startswith(word)), None)
-        if fit is None:
+def uncommon(a: str, b: str) -> tuple[list[str], list[str]]:
+    """The words of two names without the long ones that both have."""
+    x, y = a.split(), b.split()
+    for w in {w for w in x if len(w) > 1} & set(y):
+        x.remove(w)
+        y.remove(w)
+    return x, y
+
+
+def abbreviates(a: str, b: str, partial: bool = False) -> bool:
+    """whether each word of ``a`` stands for one of ``b``: a long word for itself or, if ``partial``, for one that it begins, a letter for words that it begins."""
+    if sorted(a.split()) == sorted(b.split()):
+        return True
+    x, y = uncommon(a, b)
+    (letters, long), (short, full) = short_and_full(" ".join(x)), short_and_full(" ".join(y))
+    for w in long:
+        hit = next((v for v in full if v == w or (partial and v.startswith(w))), None)
+        if hit is None:
+            return False
+        full.remove(hit)
+    for w in letters:
+        hits = [(side, v) for side in (short, full) if (v := next((v for v in side if v.startswith(w)), None))]
+        if not hits:
             return False
-        left.remove(fit)
+        for side, v in hits:
+            side.remove(v)
     return True
 
 
+def resembles(a: str, b: str) -> bool:
+    """F24, loosely: of the words not in common, the initials of one name include the other's, and each long word of ``a`` begins or ends with three letters like one of ``b``."""
+    x, y = uncommon(a, b)
+    mine, theirs = {w[0] for w in x}, {w[0] for w in y}
+    if not (mine <= theirs or theirs <= mine):
+        return False
+    (_, long), (_, full) = short_and_full(" ".join(x)), short_and_full(" ".join(y))
+    return not full or all(any(v.startswith(w[:3]) or v.endswith(w[-3:]) for v in full) for w in long)
+
+
+def without_middle(name: str) -> str | None:
+    """A name of two long words and a letter without the letter; None for other names."""
+    short, full = short_and_full(name)
+    return " ".join(full) if len(short) == 1 and len(full) == 2 else None
+
+
 def rule_number(a: str, b: str) -> int:
-    """the first of seven rules under which two names may be one person's; 0 if none.
+    """the first of seven rules under which two names, in either order, may be one person's; 0 if none.
 
-    1 same tokens in any order, or same full tokens differently divided; 2 initials of
-    romanized names in place; 3 initials in place, not both romanized; 4 initials in any
-    order, not both romanized; 5 last letter missing; 6 middle name missing; 7 romanized,
-    full tokens contained.
+    1 same words in any order, or long words of one total length, those of the name with
+    fewer inside the other's; 2 initials for all words, not two romanized names without
+    any; 3 initials for some words, not both romanized; 4 beginnings for words, not both
+    romanized; 5 one last letter missing; 6 a middle letter missing, not both romanized;
+    7 both romanized, words of one contained in the other.
     """
     a, b = plain(a), plain(b)
     if not a or not b:
         return 0
     x, y = a.split(), b.split()
     (short_a, full_a), (short_b, full_b) = short_and_full(a), short_and_full(b)
-    chinese_a, chinese_b = is_chinese_name(a), is_chinese_name(b)
-    joined_a, joined_b = "".join(full_a), "".join(full_b)
+    chinese = is_chinese_name(a), is_chinese_name(b)
+    either = lambda f, *more: f(a, b, *more) or f(b, a, *more)
     if sorted(x) == sorted(y):
         return 1
-    if full_a and len(joined_a) == len(joined_b) and (all(w in joined_a for w in full_b) if len(full_a) > len(full_b) else all(w in joined_b for w in full_a)):
+    fewer, more = sorted((full_a, full_b), key=len)
+    if fewer and len("".join(fewer)) == len("".join(more)) and all(w in "".join(more) for w in fewer):
         return 1
-    some_short = bool(short_a or short_b)
-    if some_short and not (chinese_a and len(x) < 2) and not (chinese_b and len(y) < 2) and chinese_a and chinese_b and initials_fit(a, b, False):
+    plain_chinese = all(chinese) and not short_a and not short_b
+    alone = any(c and len(w) < 2 for c, w in zip(chinese, (x, y), strict=True))
+    if not plain_chinese and not alone and sorted(w[0] for w in x) == sorted(w[0] for w in y) and either(abbreviates):
         return 2
-    both = chinese_a and chinese_b
-    if not both and initials_fit(a, b, False):
+    if not all(chinese) and either(abbreviates):
         return 3
-    if not both and initials_fit(a, b):
+    if not all(chinese) and either(abbreviates, True):
         return 4
     if len(x) >= 3 and len(y) >= 3 and "".join(x[:-1]) == "".join(y[:-1]) and (x[-1] == y[-1][:-1] or y[-1] == x[-1][:-1]):
         return 5
-    if not both and (len(x) == 3) != (len(y) == 3):
-        p, q = ("".join([w[0], w[-1]]) if len(w) == 3 else "".join(w) for w in (x, y))
-        if p != q and (p.startswith(q) or q.startswith(p)) and abs(len(p) - len(q)) < 3 or p == q:
+    middle = without_middle(a), without_middle(b)
+    if not all(chinese) and (middle[0] is None) != (middle[1] is None):
+        p, q = (m.replace(" ", "") if m else n.replace(" ", "") for m, n in zip(middle, (a, b), strict=True))
+        if p != q and (p.startswith(q) or q.startswith(p)):
             return 6
-    if both and len(x) >= 3 and len(y) >= 3 and not some_short and set(min(full_a, full_b, key=len)) <= set(max(full_a, full_b, key=len)):
+    if all(chinese) and len(x) >= 3 and len(y) >= 3 and not short_a and not short_b and set(fewer) <= set(more):
         return 7
     return 0
 
 
 def consistent(names: list[str]) -> bool:
-    """whether every name of a set agrees with its longest one."""
-    longest = max(names, key=len, default="")
-    return all(rule_number(longest, n) > 0 for n in names)
+    """whether a set of names can be one person's: those of most words agree with each other, every other one with one of them."""
+    most = max((len(n.split()) for n in names), default=0)
+    fullest = sorted({n for n in names if len(n.split()) == most})
+    agree = lambda a, b: any(abbreviates(p, q, True) or resembles(p, q) for p, q in ((a, b), (b, a)))
+    pairs = all(agree(a, b) for i, a in enumerate(fullest) for b in fullest[:i])
+    return pairs and all(any(agree(n, f) for f in fullest) for n in names if len(n.split()) < most)
 
 
 def prefix_match(name: str, target: str) -> bool:
@@ -215,19 +357,17 @@ def prefix_match(name: str, target: str) -> bool:
         return True
     if len(words) == 3 and words[-1] in ("a", "c"):
         words = words[:-1]
-
-    def given(parts: list[str]) -> bool:
-        if any(p in NOT_PREFIX and not re.match(NOT_PREFIX[p], first) for p in parts):
-            return False
-        if re.match(".*".join(parts), first):
-            return True
-        return len(parts) == 2 and all(len(p) == 1 for p in parts) and bool(re.match(".*".join(reversed(parts)), first))
-
+    begins = lambda parts: bool(re.match(".*".join(parts), first))
+    two_letters = lambda parts: len(parts) == 2 and all(len(p) == 1 for p in parts)
     if last.startswith(words[0]):
-        rest = words[1:]
-        if given(list(rest[0]) if len(rest) == 1 and len(rest[0]) == 2 and not first.startswith(rest[0]) else rest):
+        given = words[1:]
+        if begins(given) or (len(given) == 1 and len(given[0]) == 2 and begins(list(given[0]))) or (two_letters(given) and begins(given[::-1])):
             return True
-    return last.startswith(words[-1]) and given(words[:-1])
+    if last.startswith(words[-1]):
+        given = words[:-1]
+        other = OTHER_NAMES.get("".join(given))
+        return begins([other] if other else given) or (two_letters(given) and begins(given[::-1]))
+    return False
 
 
 def author_index(name: str, others: list[str]) -> int:
@@ -279,6 +419,12 @@ def chinese_name(name: pd.Series) -> pd.Series:
     return pd.Series([is_chinese_name(plain(x or "")) for x in name], dtype="bool")
 
 
+@F.pandas_udf(T.BooleanType())
+def one_person(names: pd.Series) -> pd.Series:
+    """F26 over a column of name arrays."""
+    return pd.Series([consistent([plain(x) for x in v if x]) if v is not None else None for v in names], dtype="object")
+
+
 def romanized(s: Column, table: dict[str, str]) -> Column:
     """CJK characters through a supplied reading table, others dropped; Latin text stays."""
 

@@ -8,19 +8,27 @@ from namewright.functions import similarity
 from namewright.operators import cluster, graph
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, orgs, papers, split, sql, table, words
+from namewright.sources.shared import written
 
-NEW = "SELECT block, pid, year, venue FROM split WHERE is_new AND block LIKE '1-%'"
+NEW = "SELECT block, pid, year, venue FROM split WHERE is_new"
 SET = "SELECT pid, list(DISTINCT author) AS v FROM coauthors GROUP BY pid"
 PAIRS = "SELECT x.pid AS a, y.pid AS b, x.year AS ya, y.year AS yb, x.venue AS va, y.venue AS vb, coalesce(p.v, []) AS sa, coalesce(q.v, []) AS sb FROM new_ x JOIN new_ y ON x.block = y.block AND x.pid < y.pid LEFT JOIN sets p ON p.pid = x.pid LEFT JOIN sets q ON q.pid = y.pid"
 VIEWS = dict(new_=NEW, sets=SET, pairs=PAIRS)
 
 
-def set_pairs(spark, d):
-    sets = coauthors(spark, d).groupBy("pid").agg(F.collect_set("author").alias("v"))
-    new = split(spark, d).where("is_new and block like '1-%'").join(sets, "pid", "left").withColumn("v", F.coalesce("v", F.array().cast("array<string>")))
-    a = new.select("block", F.col("pid").alias("a"), F.col("year").alias("ya"), F.col("venue").alias("va"), F.col("v").alias("sa"))
-    b = new.select("block", F.col("pid").alias("b"), F.col("year").alias("yb"), F.col("venue").alias("vb"), F.col("v").alias("sb"))
-    return a.join(b, "block").where("a < b")
+def set_pairs(spark, d, **more):
+    """Pairs of new papers of a block with their co-authors, and sets of ``more`` (name = a table of pid and one column) as x_a and x_b.
+
+    The operators are tables of pairs, so their size is the square of a block's new papers;
+    a paper's sets are made once, before papers meet.
+    """
+    new = split(spark, d).where("is_new").select("block", "pid", "year", "venue")
+    for name, rows in {"s": coauthors(spark, d), **more}.items():
+        sets = rows.groupBy("pid").agg(F.collect_set(next(c for c in rows.columns if c != "pid")).alias(name))
+        new = new.join(sets, "pid", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    new = written(new, "paper-sets")
+    one = lambda end: new.select("block", F.col("pid").alias(end), F.col("year").alias(f"y{end}"), F.col("venue").alias(f"v{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("s", *more)])
+    return one("a").join(one("b"), "block").where("a < b")
 
 
 COMMON, UNION = "len(list_intersect(sa, sb))", "len(list_distinct(list_concat(sa, sb)))"
@@ -50,12 +58,13 @@ def v05_dice(spark, d):
     return set_pairs(spark, d).select("a", "b", F.round(similarity.dice_like(F.col("sa"), F.col("sb")), 6).alias("dice"))
 
 
-@query("v06_coauthor_overlap", sql(f"SELECT a, b, round({COMMON} / (len(sa) + len(sb) - 2 * {COMMON} + 1e-20), 6) AS overlap FROM pairs WHERE {COMMON} < len(sa)", "papers", "split", "coauthors", **VIEWS))
+@query("v06_coauthor_overlap", sql(f"SELECT a, b, CASE WHEN len(sa) + len(sb) = 2 * {COMMON} THEN {COMMON} * 1e20 ELSE round({COMMON} * 1.0 / (len(sa) + len(sb) - 2 * {COMMON}), 6) END AS overlap FROM pairs", "papers", "split", "coauthors", **VIEWS))
 def v06_coauthor_overlap(spark, d):
-    """V06, for pairs that differ."""
+    """V06; equal sets have the common ones over 1e-20."""
     a, b = F.col("sa"), F.col("sb")
     m = similarity.overlap(a, b)
-    return set_pairs(spark, d).where(m < F.size(a)).select("a", "b", F.round(similarity.coauthor_overlap(m, F.size(a), F.size(b)), 6).alias("overlap"))
+    score = F.when(F.size(a) + F.size(b) == 2 * m, m * 1e20).otherwise(F.round(similarity.coauthor_overlap(m, F.size(a), F.size(b)), 6))
+    return set_pairs(spark, d).select("a", "b", score.alias("overlap"))
 
 
 @query("v07_coauthor_weight", sql(f"SELECT a, b, round({COMMON} * 1.0 / greatest(1, least(len(sa), len(sb))), 6) AS by_least, round({COMMON} * 1.0 / greatest(1, {UNION}), 6) AS by_union FROM pairs", "papers", "split", "coauthors", **VIEWS))
@@ -65,13 +74,18 @@ def v07_coauthor_weight(spark, d):
     return set_pairs(spark, d).select("a", "b", F.round(similarity.coauthor_weight(a, b), 6).alias("by_least"), F.round(similarity.coauthor_weight(a, b, True), 6).alias("by_union"))
 
 
-@query("v08_rule_score", sql(f"SELECT a, b, round(1.5 * {COMMON} + CASE WHEN va = vb THEN 1.0 ELSE 0.0 END + CASE WHEN {UNION} = 0 THEN 0.0 ELSE {COMMON} * 1.0 / {UNION} END + 0.33 * least(abs(ya - yb), 3), 6) AS score FROM pairs", "papers", "split", "coauthors", **VIEWS))
+TANIMOTO = "CASE WHEN len(list_distinct(list_concat({0}a, {0}b))) = 0 THEN 0.0 ELSE len(list_intersect({0}a, {0}b)) * 1.0 / len(list_distinct(list_concat({0}a, {0}b))) END"
+RULES = {"first": (1.5, 0.33), "second": (1.75, 1 / 2), "third": (1.5, 1 / 3)}
+RULE_PAIRS = "SELECT p.a, p.b, sa, sb, string_split(lower(va), ' ') AS va, string_split(lower(vb), ' ') AS vb, coalesce(o.v, []) AS oa, coalesce(q.v, []) AS ob, coalesce(w.v, []) AS wa, coalesce(x.v, []) AS wb FROM pairs p LEFT JOIN org_sets o ON o.pid = a LEFT JOIN org_sets q ON q.pid = b LEFT JOIN word_sets w ON w.pid = a LEFT JOIN word_sets x ON x.pid = b"
+
+
+@query("v08_rule_score", sql("SELECT a, b, " + ", ".join(f"round(CAST({c}::DOUBLE * len(list_intersect(sa, sb)) + {TANIMOTO.format('v')} + {TANIMOTO.format('o')} + {w!r}::DOUBLE * len(list_intersect(wa, wb)) AS DOUBLE), 6) AS {n}" for n, (c, w) in RULES.items()) + " FROM rule_pairs", "papers", "split", "coauthors", "orgs", "words", **VIEWS, org_sets="SELECT pid, list(DISTINCT org) AS v FROM orgs GROUP BY pid", word_sets="SELECT pid, list(DISTINCT word) AS v FROM words GROUP BY pid", rule_pairs=RULE_PAIRS))
 def v08_rule_score(spark, d):
-    """V08 over a pair's relations (here the gap of years stands for the word count)."""
-    a, b = F.col("sa"), F.col("sb")
-    venue = F.when(F.col("va") == F.col("vb"), 1.0).otherwise(0.0)
-    s = similarity.rule_score(similarity.overlap(a, b), venue, similarity.jaccard(a, b), F.least(F.abs(F.col("ya") - F.col("yb")), F.lit(3)))
-    return set_pairs(spark, d).select("a", "b", F.round(s, 6).alias("score"))
+    """V08 with its three sets of weights: co-authors and words in common, likeness of venues and of organisations."""
+    pairs = set_pairs(spark, d, o=orgs(spark, d).select("pid", "org"), w=words(spark, d))
+    venue, org = similarity.venue_tanimoto(F.col("va"), F.col("vb")), similarity.jaccard(F.col("oa"), F.col("ob"))
+    same, common = similarity.overlap(F.col("sa"), F.col("sb")), similarity.overlap(F.col("wa"), F.col("wb"))
+    return pairs.select("a", "b", *[F.round(similarity.rule_score(same, venue, org, common, c, w), 6).alias(n) for n, (c, w) in RULES.items()])
 
 
 @query("v18_year_gap", sql("SELECT a, b, CAST(least(abs(ya - yb), 20) AS INTEGER) AS gap, round(1.0 / least(abs(ya - yb) + 1, 20), 6) AS weight FROM pairs", "papers", "split", "coauthors", **VIEWS))
@@ -249,27 +263,24 @@ def relations(spark, d):
 
 @query("g01_walk")
 def g01_walk(spark, d):
-    """Paper - author - paper - organisation walks from every new paper; hash-seeded, tested step by step."""
-    starts = split(spark, d).where("is_new").select("pid")
-    return graph.walks(relations(spark, d), starts, steps=4, walks_each=1)
+    """Five walks of twenty hops, paper - author - paper - organisation, from every paper with a venue; hash-seeded, tested step by step."""
+    return graph.walks(relations(spark, d), papers(spark, d).where("venue is not null").select("pid"), steps=20, walks_each=5)
 
 
 @query("g02_walk_extra")
 def g02_walk_extra(spark, d):
-    """With a tenth of further hops over the venue."""
-    starts = split(spark, d).where("is_new").select("pid")
-    return graph.walks(relations(spark, d), starts, steps=2, walks_each=1, extra={"venue": 0.1})
+    """With a tenth of further hops over the venue, and a tenth over a word; ten hops from every paper."""
+    more = words(spark, d).select(F.lit("word").alias("rel"), "pid", F.col("word").alias("token"))
+    return graph.walks(relations(spark, d).unionByName(more), papers(spark, d).select("pid"), steps=10, walks_each=1, extra={"venue": 0.1, "word": 0.1})
 
 
 @query("g03_biased_walk")
 def g03_biased_walk(spark, d):
-    """A return to the paper before is kept with chance 1 / 4."""
-    starts = split(spark, d).where("is_new").select("pid")
-    return graph.walks(relations(spark, d), starts, steps=3, walks_each=1, relations=["author"], back=4.0)
+    """Ten hops from every paper; a return to the paper before is kept with chance 1 / 4 (the in-out parameter is 1, as in the blueprint)."""
+    return graph.walks(relations(spark, d), papers(spark, d).select("pid"), steps=10, walks_each=1, relations=["author"], back=4.0)
 
 
 @query("g09_spectral")
 def g09_spectral(spark, d):
-    """Spectral vectors of each block's graph; sign is free, so rows only."""
-    out = graph.spectral(graph.symmetric(word_edges(spark, d), ["block"]), "block", 16)
-    return out.select("block", "node", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"))
+    """Spectral vectors of each block's graph, 100 dimensions; signs are free, so the tests compare their products."""
+    return graph.spectral(graph.symmetric(word_edges(spark, d), ["block"]), "block", 100)

@@ -154,11 +154,13 @@ def j12_default_lookup(spark, d):
     return blocking.looked_up(tokens, scores, ["token"], "score", 10.42).groupBy("doc_id").agg(F.round(F.sum("score"), 2).alias("total"))
 
 
-@query("j14_vector_lookup", "SELECT d.doc_id, coalesce(e.embedding[1:2], [0.0::FLOAT, 0.0::FLOAT]) AS vec FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+@query("j14_vector_lookup", "SELECT d.doc_id, coalesce(e.embedding, list_transform(range(64), lambda i: 0.0::FLOAT)) AS vec, coalesce(e.embedding, list_transform(range(64), lambda i: 1.0::FLOAT)) AS vec_or_ones FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def j14_vector_lookup(spark, d):
-    """Vectors with zeros for unknown ids."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, 2).alias("vec"))
-    return blocking.looked_up(table(spark, d, "documents").select("doc_id"), e, ["doc_id"], "vec", F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>"))
+    """Whole vectors, with zeros, or ones, for unknown ids."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    constant = lambda x: F.array_repeat(F.lit(x).cast("float"), 64)
+    found = table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("vec", constant(0.0)).alias("vec"), F.coalesce("vec", constant(1.0)).alias("vec_or_ones"))
 
 
 @query("j16_coauthor_semi", sql("SELECT DISTINCT s.pid FROM split s JOIN coauthors c USING (pid) JOIN (SELECT DISTINCT block, author FROM split JOIN coauthors USING (pid) WHERE NOT is_new) t ON t.block = s.block AND t.author = c.author WHERE is_new", "papers", "split", "coauthors"))
@@ -194,13 +196,14 @@ def u03_keep_last(spark, d):
     return ranking.keep_last(papers(spark, d), ["aid"], [F.desc("odate"), F.desc("pid")]).select("aid", "pid", "year")
 
 
-@query("u04_set_sizes", sql("SELECT a.block, CAST(len(list_intersect(a.v, b.v)) AS INTEGER) AS both_, CAST(len(list_distinct(list_concat(a.v, b.v))) AS INTEGER) AS any_, CAST(len(list_filter(a.v, lambda x: NOT list_contains(b.v, x))) AS INTEGER) AS rest FROM n a JOIN o b ON a.block = b.block", "papers", "split", "coauthors", n="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE is_new GROUP BY block", o="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE NOT is_new AND pid % 5 = 0 GROUP BY block"))
+@query("u04_set_sizes", sql("SELECT a.block, CAST(len(list_intersect(a.v, b.v)) AS BIGINT) AS both_, CAST(len(list_distinct(list_concat(a.v, b.v))) AS BIGINT) AS any_, CAST(len(list_filter(a.v, lambda x: NOT list_contains(b.v, x))) AS BIGINT) AS rest FROM n a JOIN o b ON a.block = b.block", "papers", "split", "coauthors", n="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE is_new GROUP BY block", o="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE NOT is_new GROUP BY block"))
 def u04_set_sizes(spark, d):
-    """Sizes of intersection, union and difference of two sets."""
+    """Sizes of intersection, union and difference of a block's new and old authors, counted and never collected."""
     rows = split(spark, d).join(coauthors(spark, d), "pid")
-    a = rows.where("is_new").groupBy("block").agg(F.collect_set("author").alias("a"))
-    b = rows.where("not is_new and pid % 5 = 0").groupBy("block").agg(F.collect_set("author").alias("b"))
-    return a.join(b, "block").select("block", similarity.overlap(F.col("a"), F.col("b")).alias("both_"), F.size(F.array_union("a", "b")).alias("any_"), F.size(F.array_except("a", "b")).alias("rest"))
+    each = rows.groupBy("block", "author").agg(F.max("is_new").alias("new"), F.max(~F.col("is_new")).alias("old"))
+    size = lambda c: F.sum(c.cast("bigint"))
+    out = each.groupBy("block").agg(size(F.col("new") & F.col("old")).alias("both_"), F.count(F.lit(1)).alias("any_"), size(F.col("new") & ~F.col("old")).alias("rest"), size(F.col("new")).alias("n"), size(F.col("old")).alias("m"))
+    return out.where("n > 0 and m > 0").drop("n", "m")
 
 
 @query("u06_recombine", "SELECT doc_id, quality, CASE WHEN quality = 1 THEN 'normal' ELSE 'outlier' END AS kind FROM labels")
@@ -242,3 +245,10 @@ def u01_union_all(spark, d):
 def w11_sorted_scores(spark, d):
     """A global order over several keys, by range partitions."""
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount").orderBy(F.desc("l_orderkey"), F.desc("l_discount"), F.desc("l_partkey"))
+
+
+@query("v20_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8.0::DOUBLE, 2) AS x, round_even(-l_quantity / 16.0::DOUBLE, 3) AS y FROM lineitem")
+def v20_half_even(spark, d):
+    """Halves to the even neighbour, as features are rounded."""
+    q = F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(q / 8.0, 2).alias("x"), F.bround(-q / 16.0, 3).alias("y"))

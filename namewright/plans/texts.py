@@ -97,10 +97,51 @@ def f10_clean_name(spark, d):
     return persons(spark, d).select("p_partkey", names.clean_name(F.col("name")).alias("name"))
 
 
-@query("f12_name_tokens", sql("SELECT p_partkey, list_filter(string_split(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN " + listed(names.PARTICLES) + ") AS tokens FROM persons", persons=PERSONS))
+#: Names with titles, nicknames, capitals and marks, and the tokens they must give.
+WRITTEN = {
+    "WB Smith": ["w", "b", "smith"], "Dr. Bill O’Neil Jr.": ["william", "oneil"], "Mr Tom Jones III": ["thomas", "jones"], "Prof. Ed Md Smith": ["prof.", "edward", "md", "smith"], "fran miller": ["frances", "miller"],
+    "jan de boer": ["janice", "de", "boer"], "a.b. smith": ["a", "b", "smith"], "m. ćwiok": ["m.", "cwiok"], "M Fincke-Keeler": ["m", "fincke", "keeler"], "Junior Wells": ["wells"],
+}
+WRITTEN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, {tokens!r})" for i, tokens in enumerate(WRITTEN.values())) + ") v(p_partkey, tokens)"
+
+
+@query("f12_name_tokens", sql(f"SELECT p_partkey, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS tokens FROM persons UNION ALL {WRITTEN_SQL}", persons=PERSONS))
 def f12_name_tokens(spark, d):
-    """tokens without particles, nicknames spelled out (none occurs in these names)."""
-    return persons(spark, d).select("p_partkey", names.simple_tokens(F.col("name")).alias("tokens"))
+    """tokens without particles, nicknames spelled out; the table's names and ten written ones."""
+    more = spark.createDataFrame([(-i - 1, name) for i, name in enumerate(WRITTEN)], "p_partkey bigint, name string")
+    rows = persons(spark, d).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "name").unionByName(more)
+    return rows.select("p_partkey", names.simple_tokens(F.col("name")).alias("tokens"))
+
+
+#: Names in Latin and CJK letters, a reading of the characters, and what they give.
+READINGS = {"陈": "chen", "伟": "wei", "王": "wang", "芳": "fang"}
+MIXED = {"陈伟": "chen wei", "W 陈伟": "chen wei", "Wei Chen 陈伟": "wei chen", "王芳芳": "wang fang fang", "John Smith": "john smith", "X": "x"}
+
+
+@query("f11_mixed_names", "SELECT p_partkey, p_name AS name, lower(p_name) AS latin FROM part UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{a}', '{b}')" for i, (a, b) in enumerate(MIXED.items())) + ")")
+def f11_mixed_names(spark, d):
+    """CJK names by a table of readings unless enough Latin letters stand beside them, then F10."""
+    more = spark.createDataFrame([(-i - 1, name) for i, name in enumerate(MIXED)], "p_partkey bigint, name string")
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.col("p_name").alias("name")).unionByName(more)
+    return rows.select("p_partkey", "name", names.clean_name(names.romanized(F.col("name"), READINGS)).alias("latin"))
+
+
+@query("f26_consistent_names", "SELECT DISTINCT p_name AS name, true AS reversed, true AS initial, false AS other FROM part")
+def f26_consistent_names(spark, d):
+    """each distinct name with itself reversed, with an initial, and with a name that shares nothing with it."""
+    words = F.split("name", " ")
+    rows = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    turned, short = F.array_join(F.reverse(words), " "), F.concat_ws(" ", F.substring("name", 1, 1), F.element_at(words, -1))
+    return rows.select("name", names.one_person(F.array("name", turned)).alias("reversed"), names.one_person(F.array("name", short)).alias("initial"), names.one_person(F.array("name", F.lit("qqq zzz"))).alias("other"))
+
+
+@query("f28_token_sets", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT string_split(p_name, ' ')[2] || ', ' || string_split(p_name, ' ')[1] AS p_name FROM part) b ON list_sort(string_split(a.p_name, ' ')) = list_sort(string_split(replace(b.p_name, ',', ''), ' '))")
+def f28_token_sets(spark, d):
+    """names and names written last name first meet by their set of tokens."""
+    rows = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
+    words = F.split("a", " ")
+    turned = rows.select(F.concat(F.get(words, F.lit(1)), F.lit(", "), F.get(words, F.lit(0))).alias("b")).distinct()
+    return rows.withColumn("k", names.token_set(F.col("a"))).join(turned.withColumn("k", names.token_set(F.col("b"))), "k").select("a", "b")
 
 
 @query("f13_name_key", sql("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[ .\\-_]'), lambda x: x <> ''))), '') AS key FROM persons", persons=PERSONS))

@@ -85,9 +85,9 @@ def r07_down_sample(spark, d):
     return rows.where((F.col("quality") == 0) | ranking.share_of(rows, ["doc_id"], 0.9, seed=7))
 
 
-@query("r08_leave_self_out", sql("SELECT a.pid, count(*) AS others FROM papers a JOIN papers b ON a.aid = b.aid AND a.pid <> b.pid GROUP BY a.pid", "papers"))
+@query("r08_leave_self_out", sql("SELECT a.pid, b.pid AS other FROM split a JOIN papers b ON a.aid = b.aid AND a.pid <> b.pid WHERE a.is_new", "papers", "split"))
 def r08_leave_self_out(spark, d):
-    """A person's other papers, as a window count and not a self-join."""
-    from pyspark.sql import Window
-
-    return papers(spark, d).select("pid", (F.count(F.lit(1)).over(Window.partitionBy("aid")) - 1).alias("others")).where("others > 0")
+    """Each new paper with the profile of its person, the paper itself left out; one row for each paper of the profile."""
+    rows = papers(spark, d).select("aid", F.col("pid").alias("other"))
+    new = ranking.temporal_split(papers(spark, d), "aid", ["odate", "pid"], 0.2, "unassigned").where("is_new").select("aid", "pid")
+    return new.join(rows, "aid").where("pid <> other").select("pid", "other")

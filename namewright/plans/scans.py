@@ -123,3 +123,33 @@ def s01_props_json(spark, d):
 def u05_edge_union(spark, d):
     """Relations in one table, without repeats."""
     return coauthors(spark, d).withColumnRenamed("author", "token").unionByName(words(spark, d).withColumnRenamed("word", "token")).distinct()
+
+
+@query("s07_attribute_files", "SELECT attribute, line, count(*) AS n FROM (SELECT 'supplier' AS attribute, s_name AS line FROM supplier UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'part', p_name FROM part) GROUP BY attribute, line")
+def s07_attribute_files(spark, d):
+    """Values of several attributes, a folder for each, read back as one table."""
+    at = fresh(spark, "attributes")
+    kinds = {"supplier": "s_name", "nation": "n_name", "part": "p_name"}
+    rows = [table(spark, d, t).select(F.lit(t).alias("attribute"), F.col(c).alias("v")) for t, c in kinds.items()]
+    files.write_attributes(rows[0].unionAll(rows[1]).unionAll(rows[2]), at, "attribute", "v")
+    return spark.read.text(at).groupBy("attribute", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_computed_once", sql("SELECT block, count(*) AS n FROM papers GROUP BY block", "papers"))
+def s10_computed_once(spark, d):
+    """A table that is computed when it is first asked for; the second call reads it."""
+    at = fresh(spark, "cache")
+    files.computed_once(spark, at, lambda: papers(spark, d).groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    return files.computed_once(spark, at, lambda: papers(spark, d).where("false").groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("s12_vector_file", "SELECT CAST(vec_id AS VARCHAR) AS word, len(embedding) AS dims, round(CAST(list_sum(embedding) AS DOUBLE), 3) AS total FROM embeddings")
+def s12_vector_file(spark, d):
+    """Vectors below a line with their number and size."""
+    at = fresh(spark, "vectors")
+    e = table(spark, d, "embeddings")
+    lines = e.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
+    head = e.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.max(F.size("embedding")).cast("string")).alias("value"))
+    head.unionAll(lines).write.text(at)
+    got = files.read_vectors(spark, at, header=True)
+    return got.select("word", F.size("vec").cast("bigint").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))

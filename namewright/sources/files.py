@@ -40,6 +40,14 @@ def write_store(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
 
 
+def computed_once(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``, made and written there if it is absent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """Pid TAB token lines; repeated lines and lines without exactly two fields are dropped."""
     parts = F.split("value", "\t")
@@ -62,6 +70,12 @@ def write_lines(df: DataFrame, path: str, *cols: Column) -> None:
     lines.write.text(path)
 
 
+def write_attributes(df: DataFrame, path: str, attribute: str, value: str) -> None:
+    """A folder of text files for each attribute, one value per line."""
+    kept = df.where(F.col(value).isNotNull() & (F.col(value) != ""))
+    kept.select(attribute, F.col(value).alias("value")).write.partitionBy(attribute).text(path)
+
+
 def write_scores(df: DataFrame, path: str) -> None:
     """S09."""
     df.write.csv(path, header=True)

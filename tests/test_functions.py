@@ -201,3 +201,14 @@ def test_stack_learns_planted_signal(planted):
     train, test = planted
     got = learned.stacked(train, test, ["coauthors", "words", "gap"], "label", "pid", "aid", kind="gbt").collect()
     assert len(got) == 600 and ranked_right(got, "final") > 0.95
+
+
+def test_nearest_names_refuse_unbounded_lists(spark):
+    from namewright.operators import blocking
+
+    names_ = spark.createDataFrame([("abc",), ("abd",), ("xyz",)], "name string")
+    slots = spark.createDataFrame([("abe",)], "slot string")
+    d = similarity.letter_distance(F.col("slot"), F.col("name"))
+    assert [(r["name"], r["rank"]) for r in blocking.nearest_names(slots, names_, d, "slot", "name").orderBy("rank").collect()] == [("abc", 1), ("abd", 2)]
+    with pytest.raises(ValueError):
+        blocking.nearest_names(slots, names_, d, "slot", "name", most=2)

@@ -2,7 +2,9 @@
 
 A random string is cut by a BPE vocabulary into many short tokens, while words, even
 unknown ones, keep longer ones. Runs of key-like characters whose characters-per-token
-ratio is low are reported, after known digests and identifiers are excluded.
+ratio is low are reported, after known digests and identifiers are excluded. A run needs
+letters and digits, or letters whose case changes; one that base spans cover, but for
+fewer than 8 characters, is not reported again.
 
 Edge cases: a null or empty text gives no span; a null key stays a row; repeated rows
 are scanned one by one; any text length is scanned whole; an empty table gives an empty
@@ -28,6 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
+#: A run that base spans cover but for fewer characters than this is theirs, not a key of its own.
+MORE = 8
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
 DIGEST = re.compile(r"(?:md5|sha\d+|sha\d+)?[-_=/]?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 IDENTIFIER = re.compile(
@@ -54,13 +58,22 @@ def looks_random(run: str, encoding, most_ratio: float) -> float | None:
     """The characters-per-token ratio where it exposes a random string, else None."""
     if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return None
-    kinds = sum(bool(re.search(x, run)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
-    if kinds < 2 or len(set(run)) < 8 or not re.search("[0-9]", run):
-        return None
+    mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run) or len(re.findall("[a-z][A-Z]", run)) > 1
+    if not mixed or len(set(run)) < 8:
+        return None  # letters of one case are words of some language, a capital or two begin names
     ratio = len(run) / len(encoding.encode_ordinary(run))
     return ratio if ratio <= most_ratio else None
 
 
+def uncovered(start: int, end: int, base: list[tuple[int, int]], first: int) -> int:
+    """How many positions of [start, end) lie in no span of ``base`` (sorted), those before ``first`` left out."""
+    n, at = 0, start
+    while first < len(base) and base[first][0] < end:
+        a, b = base[first]
+        n, at, first = n + max(0, a - at), max(at, b), first + 1
+    return n + max(0, end - at)
+
+
 def scan(text: str | None, encoding, least: int, most_ratio: float) -> list[tuple[str, int, int, float | None]]:
     """All spans of one text, by start, then kind."""
     text = text or ""
@@ -70,9 +83,12 @@ def scan(text: str | None, encoding, least: int, most_ratio: float) -> list[tupl
             found.append(("assign", m.start(), m.end(), None))
     found += [("access", m.start(), m.end(), None) for m in re.finditer(ACCESS, text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), None) for m in re.finditer(r"[0-9a-f]{24,}", text)]
-    base = list(found)
+    base = sorted((a, b) for _, a, b, _ in found)
+    i = 0
     for m in re.finditer(RUN % least, text):
-        if any(a < m.end() and m.start() < b for _, a, b, _ in base):
+        while i < len(base) and base[i][1] <= m.start():
+            i += 1
+        if uncovered(m.start(), m.end(), base, i) < MORE:
             continue  # reported already
         if (ratio := looks_random(m[0].strip("=-_/+"), encoding, most_ratio)) is not None:
             found.append(("random", m.start(), m.end(), ratio))

@@ -69,6 +69,27 @@ def test_secrets(docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("a qWkZxTbNvRjPmLsDgHfYcKzQwXtBnVrJ b", ["random:2:34"]),  # letters alone
+        ("getHttpResponseHandlerFactoryBean XMLHttpRequestEventTarget", []),
+        ("donaudampfschifffahrtsgesellschaft Llanfairpwllgwyngyllgogery", []),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", []),
+        ("x q7XkZ9pLmR4t" + "0a1b2c3d4e5f6a7b8c9d0e1f" + "Qw8ZtVn2KxPj y", ["hex:14:38", "random:2:50"]),  # a longer key around a piece in hex
+        ("my_password=q7Xk29ZpLm4Rt8Vw1NbY5c", ["assign:3:34"]),  # the few letters before are no key
+        ("d41d8cd98f00b204e9800998ecf8427e", ["hex:0:32"]),
+    ],
+)
+def test_secret_spans(text, spans):
+    import public_tokenizers
+
+    from namewright.llm import secrets
+
+    found = secrets.scan(text, secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")), 20, 2.0)
+    assert sorted(secrets.listed(found).split(",") if found else []) == sorted(spans)
+
+
 def test_toxicity(spark, docs, none):
     from namewright.llm import toxicity
 

@@ -7,37 +7,52 @@ from pyspark.sql import functions as F
 
 from namewright.functions.similarity import year_gap
 from namewright.operators import ranking
-from namewright.operators.blocking import token_overlap
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, papers, split, sql, words
 from namewright.sources.shared import written
 
 
-def pair_features(spark, d) -> DataFrame:
-    """(pid, aid, coauthors, words, gap) for every slot and every person of its block.
+def sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Slots, persons with their last year, and (pid, aid, coauthors, words) of every slot and person of its block with something in common.
 
-    Overlaps are equi-joins on (block, token) that yield only pairs with something in
-    common; the profile side is made distinct per person first.
+    Co-authors and words meet in one equi-join on (block, kind, token) that yields only
+    pairs with something in common; the profile side is made distinct per person first.
     """
-    parts = written(split(spark, d).select("pid", "aid", "block", "year", "is_new"), "split")  # read six times below
+    parts = written(split(spark, d).select("pid", "aid", "block", "year", "is_new"), "split")  # read four times below
     slots = parts.where("is_new").select("pid", "block", F.col("year").alias("slot_year"))
     old = parts.where("not is_new").select(F.col("pid").alias("old"), "aid", "block", "year")
     persons = old.groupBy("block", "aid").agg(F.max("year").alias("last_year"))
+    tokens = coauthors(spark, d).select("pid", F.lit(True).alias("person"), F.col("author").alias("token")).unionByName(words(spark, d).select("pid", F.lit(False).alias("person"), F.col("word").alias("token")))
+    mine = slots.select("pid", "block").join(tokens, "pid")
+    theirs = old.join(tokens.withColumnRenamed("pid", "old"), "old").select("block", "aid", "person", "token").distinct()
+    common = mine.join(theirs, ["block", "person", "token"]).groupBy("pid", "aid").agg(F.count_if("person").alias("coauthors"), F.count_if(~F.col("person")).alias("words"))
+    return slots, persons, common
 
-    def overlap(tokens: DataFrame, col: str, name: str) -> DataFrame:
-        mine = slots.select("pid", "block").join(tokens, "pid")
-        theirs = old.join(tokens.withColumnRenamed("pid", "old"), "old").select("block", "aid", col).distinct()
-        return token_overlap(mine, theirs, ["block", col], "pid", "aid").withColumnRenamed("common", name)
 
-    pairs = slots.join(persons, "block").withColumn("gap", year_gap(F.col("slot_year"), F.col("last_year")))
-    co, wo = overlap(coauthors(spark, d), "author", "coauthors"), overlap(words(spark, d), "word", "words")
-    out = pairs.join(co, ["pid", "aid"], "left").join(wo, ["pid", "aid"], "left")
-    return out.select("pid", "aid", F.coalesce("coauthors", F.lit(0)).alias("coauthors"), F.coalesce("words", F.lit(0)).alias("words"), "gap")
+def with_gap(pairs: DataFrame) -> DataFrame:
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return pairs.select("pid", "aid", n("coauthors"), n("words"), year_gap(F.col("slot_year"), F.col("last_year")).alias("gap"))
 
 
-def pair_scores(spark, d) -> DataFrame:
+def scored(features: DataFrame) -> DataFrame:
     """V08 with the year gap taken off: 1.5 co-authors + 0.33 words - 0.1 gap."""
-    return pair_features(spark, d).withColumn("score", F.round(1.5 * F.col("coauthors") + 0.33 * F.col("words") - 0.1 * F.col("gap"), 6))
+    return features.withColumn("score", F.round(1.5 * F.col("coauthors") + 0.33 * F.col("words") - 0.1 * F.col("gap"), 6))
+
+
+def pair_features(spark, d) -> DataFrame:
+    """(pid, aid, coauthors, words, gap) for every slot and every person of its block."""
+    slots, persons, common = sides(spark, d)
+    return with_gap(slots.join(persons, "block").join(common, ["pid", "aid"], "left"))
+
+
+def pair_scores(spark, d) -> DataFrame:
+    return scored(pair_features(spark, d))
+
+
+def scores_above_zero(spark, d) -> DataFrame:
+    """The pairs of ``pair_scores`` that can score above zero: those with something in common. All pairs of a block are never made."""
+    slots, persons, common = sides(spark, d)
+    return scored(with_gap(common.join(slots, "pid").join(persons, ["block", "aid"])))
 
 
 SCORES = dict(
@@ -61,7 +76,7 @@ BEST = "SELECT pid, aid, score FROM (SELECT *, row_number() OVER (PARTITION BY p
 @query("flagship_assign", scores_sql(f"SELECT * FROM ({BEST}) WHERE score >= 2.0"))
 def flagship_assign(spark, d):
     """Each new paper's best person, if good enough."""
-    return ranking.top_1(pair_scores(spark, d), ["pid"], "score", "aid", ["aid", "score"]).where("score >= 2.0")
+    return ranking.top_1(scores_above_zero(spark, d), ["pid"], "score", "aid", ["aid", "score"]).where("score >= 2.0")
 
 
 @query("j06_candidate_features", scores_sql("SELECT pid, aid, coauthors, words, gap FROM features"))
@@ -85,7 +100,7 @@ def w05_top1(spark, d):
 @query("w07_multi_assign", scores_sql("SELECT aid, list(pid ORDER BY pid) AS pids FROM scores WHERE score >= 4 GROUP BY aid"))
 def w07_multi_assign(spark, d):
     """All papers above the threshold, per person."""
-    return pair_scores(spark, d).where("score >= 4").groupBy("aid").agg(F.sort_array(F.collect_list("pid")).alias("pids"))
+    return scores_above_zero(spark, d).where("score >= 4").groupBy("aid").agg(F.sort_array(F.collect_list("pid")).alias("pids"))
 
 
 GAPS = "SELECT pid, max(score) AS s1, avg(score) AS mean, min(score) AS s0, max(CASE WHEN rn = 2 THEN score END) AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, aid) AS rn FROM scores) GROUP BY pid"

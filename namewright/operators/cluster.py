@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +58,27 @@ def attach_outliers(labels: DataFrame, scores: DataFrame, by: list[str], key: st
 
 
 def relabel_in_order(labels: DataFrame, scores: DataFrame, by: list[str], key: str, least: float = 1.5) -> DataFrame:
-    """For outlier pairs of high score, in order of (a, b), b takes a's label; the last writer wins.
+    """For outlier pairs of high score, in order of (a, b), b takes the label that a has then; the last writer wins.
 
-    The order of writes matters, so each block's few pairs are folded in one group call.
+    The last writer of b is its largest a. What a hands on came from the largest partner
+    below a, the last to write to it before its turn, and so on down to a row without a
+    smaller partner, which hands on its own label. These chains are followed by doubling,
+    so rounds grow with the logarithm of their length and no block is held by a task.
     """
-    pairs = scores.where(F.col("score") >= least).select(*by, "a", "b")
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        label = dict(zip(left[key], left["label"], strict=True))
-        for a, b in sorted(zip(right["a"], right["b"], strict=True)):
-            if a in label and b in label:
-                label[b] = label[a]
-        return left.assign(label=left[key].map(label))
-
-    return labels.groupBy(*by).cogroup(pairs.groupBy(*by)).applyInPandas(fold, labels.schema)
+    known = labels.select(*by, key)
+    pairs = scores.where((F.col("score") >= least) & (F.col("a") != F.col("b"))).select(*by, "a", "b")
+    pairs = written(pairs.join(known.withColumnRenamed(key, "a"), [*by, "a"], "left_semi").join(known.withColumnRenamed(key, "b"), [*by, "b"], "left_semi"), "outlier-pairs")
+    chain = written(pairs.where("a < b").groupBy(*by, F.col("b").alias("node")).agg(F.max("a").alias("to")), "writers")
+    while True:
+        far = chain.select(*by, F.col("node").alias("to"), F.col("to").alias("next"))
+        step = written(chain.join(far, [*by, "to"], "left").select(*by, "node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "writers")
+        chain = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    last = pairs.groupBy(*by, F.col("b").alias(key)).agg(F.max("a").alias("node")).join(chain, [*by, "node"], "left")
+    last = last.select(*by, key, F.coalesce("to", "node").alias("giver"))
+    given = last.join(labels.select(*by, F.col(key).alias("giver"), F.col("label").alias("given")), [*by, "giver"]).select(*by, key, "given")
+    return labels.join(given, [*by, key], "left").withColumn("label", F.coalesce("given", "label")).select(*labels.columns)
 
 
 def clusters(labels: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namewright.operators.ranking import running
+
 
 def pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -59,17 +61,15 @@ def auc_ap(df: DataFrame, profile: str, label: str, score: str, tie: str) -> Dat
     """AUC (average ranks for ties) and average precision per profile, averaged with weight = positives.
 
     ``label`` 1 marks what the score should rank high. Profiles with one class are left out.
+    A profile may be of any size: places are running counts over ranges of the order.
     """
-    at = Window.partitionBy(profile)
-    ranked = df.withColumns(
-        {
-            "low": F.rank().over(at.orderBy(score)), "same": F.count(F.lit(1)).over(Window.partitionBy(profile, score)),
-            "place": F.row_number().over(at.orderBy(F.desc(score), tie)), "seen": F.sum(label).over(at.orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    rank = F.col("low") + (F.col("same") - 1) / 2
-    per = ranked.groupBy(profile).agg(
-        F.sum(F.when(F.col(label) == 1, rank)).alias("rs"), F.sum(label).alias("pos"), (F.count(F.lit(1)) - F.sum(label)).alias("neg"), F.avg(F.when(F.col(label) == 1, F.col("seen") / F.col("place"))).alias("ap")
+    placed = running(df.select(profile, label, score, tie), [profile], [F.desc(score), tie], {"place": F.lit(1).cast("bigint"), "seen": F.col(label).cast("bigint")})
+    # Equal scores share the mean of their ranks from below, n + 1 less the mean of their places.
+    same = placed.groupBy(profile, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"), (F.max("place") - (F.count(F.lit(1)) - 1) / 2).alias("mean_place"), F.sum(F.when(F.col(label) == 1, F.col("seen") / F.col("place"))).alias("ap")
+    )
+    per = same.groupBy(profile).agg(
+        F.sum("pos").alias("pos"), (F.sum("n") - F.sum("pos")).alias("neg"), ((F.sum("n") + 1) * F.sum("pos") - F.sum(F.col("pos") * F.col("mean_place"))).alias("rs"), (F.sum("ap") / F.sum("pos")).alias("ap")
     ).where("pos > 0 and neg > 0")
     auc = (F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
     return per.agg((F.sum(auc * F.col("pos")) / F.sum("pos")).alias("auc"), (F.sum(F.col("ap") * F.col("pos")) / F.sum("pos")).alias("ap"))

@@ -8,6 +8,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namewright.sources.shared import written
+
+
+def running(df: DataFrame, by: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums, the row itself included, of groups of any size; nulls are a group.
+
+    Rows are cut into ranges of group and order and written; a range is summed by itself
+    and starts from what its group has in the ranges before, so no task holds a group.
+    """
+    ranged = written(df.withColumns(sums).repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "range_").agg(*[F.sum(c).alias(c) for c in sums])
+    starts = totals.select(*[F.col(c).alias(f"of_{c}_") for c in (*by, "range_")], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"start_{c}_") for c in sums])
+    same = F.col("range_") == F.col("of_range__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}_"))
+    rows = ranged.withColumns({c: F.sum(c).over(here) for c in sums}).join(starts, same)
+    return rows.select(*df.columns, *[(F.col(c) + F.col(f"start_{c}_")).alias(c) for c in sums])
+
+
+def number_large(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Row numbers within groups of any size."""
+    return running(df, by, order, {name: F.lit(1).cast("bigint")})
+
 
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -41,14 +66,19 @@ def hashed_order(*cols, seed: int = 0) -> Column:
 
 
 def equal_folds(df: DataFrame, by: list[str], order: list, k: int, name: str = "fold") -> DataFrame:
-    """Fold i holds rows [i n / k, (i + 1) n / k) of the order."""
-    return df.withColumn(name, F.ntile(k).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """K runs of the order of equal size; the first ``n mod k`` hold one row more. Groups may be of any size."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).select(*[F.col(c).alias(f"of_{c}_") for c in by], F.expr(f"n_ div {k}").alias("q_"), F.expr(f"n_ % {k}").alias("r_"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}_"))
+    fold = F.expr("cast(if(at_ <= r_ * (q_ + 1), (at_ - 1) div (q_ + 1), r_ + (at_ - 1 - r_ * (q_ + 1)) div q_) as int)")
+    return number_large(df, by, order, "at_").join(sizes, same).withColumn(name, fold).select(*df.columns, name)
 
 
 def balanced_folds(groups: DataFrame, size: str, cut: int, order: list, k: int) -> DataFrame:
     """Small and large groups are dealt out to folds separately, so every fold has both."""
     stratum = F.when(F.col(size) < cut, 0).otherwise(1)
-    return numbered(groups.withColumn("stratum", stratum), ["stratum"], order, "rn_").withColumn("fold", (F.col("rn_") - 1) % k).drop("rn_")
+    return number_large(groups.withColumn("stratum", stratum), ["stratum"], order, "rn_").withColumn("fold", ((F.col("rn_") - 1) % k).cast("int")).drop("rn_")
 
 
 def running_budget(df: DataFrame, by: list[str], order: list, size: str, budget: float) -> DataFrame:

@@ -165,6 +165,10 @@ def distances(spark, d):
     return a.join(b, "block").where("a <> b").select("block", "a", "b", F.round(1 - similarity.dot(F.col("u"), F.col("v")), 6).alias("d"))
 
 
+def pair_scores(spark, d):
+    return distances(spark, d).select("block", "a", "b", F.round(2.2 - F.col("d"), 6).alias("score"))
+
+
 def dbscan_labels(spark, d):
     points = table(spark, d, "embeddings").select(F.col("label").alias("block"), "vec_id")
     return cluster.dbscan(points, distances(spark, d), ["block"], "vec_id", eps=EPS)
@@ -176,21 +180,29 @@ def c01_dbscan(spark, d):
     return dbscan_labels(spark, d)
 
 
-@query("c02_outlier_attach", f"WITH RECURSIVE l AS ({DBSCAN.replace('WITH RECURSIVE ', 'WITH RECURSIVE ', 1)}), sc AS (SELECT label AS block, a, b, round(2.2 - d, 6) AS score FROM ({DIST})), best AS (SELECT s.block, s.a, max(s.score) AS score, arg_min(m.label, (-s.score, s.b)) AS to_ FROM sc s JOIN l o ON o.block = s.block AND o.vec_id = s.a AND o.label = -1 JOIN l m ON m.block = s.block AND m.vec_id = s.b AND m.label <> -1 GROUP BY s.block, s.a) SELECT l.block, l.vec_id, CASE WHEN l.label <> -1 THEN l.label WHEN best.score >= 1.5 THEN best.to_ ELSE -(l.vec_id + 2) END AS label FROM l LEFT JOIN best ON best.block = l.block AND best.a = l.vec_id")
+ATTACHED = f"WITH RECURSIVE l AS ({DBSCAN}), sc AS (SELECT label AS block, a, b, round(2.2 - d, 6) AS score FROM ({DIST})), best AS (SELECT s.block, s.a, max(s.score) AS score, arg_min(m.label, (-s.score, s.b)) AS to_ FROM sc s JOIN l o ON o.block = s.block AND o.vec_id = s.a AND o.label = -1 JOIN l m ON m.block = s.block AND m.vec_id = s.b AND m.label <> -1 GROUP BY s.block, s.a) SELECT l.block, l.vec_id, CASE WHEN l.label <> -1 THEN l.label WHEN best.score >= 1.5 THEN best.to_ ELSE -(l.vec_id + 2) END AS label FROM l LEFT JOIN best ON best.block = l.block AND best.a = l.vec_id"
+
+
+def attached_labels(spark, d):
+    return cluster.attach_outliers(dbscan_labels(spark, d), pair_scores(spark, d), ["block"], "vec_id")
+
+
+@query("c02_outlier_attach", ATTACHED)
 def c02_outlier_attach(spark, d):
     """Noise to its best cluster, or a cluster of its own."""
-    scores = distances(spark, d).select("block", "a", "b", F.round(2.2 - F.col("d"), 6).alias("score"))
-    return cluster.attach_outliers(dbscan_labels(spark, d), scores, ["block"], "vec_id")
+    return attached_labels(spark, d)
+
+
+#: Noise in the order of its pairs: the last writer before a row's turn, chains of such writers, the last writer of all.
+RELABELLED = f"WITH RECURSIVE l AS ({DBSCAN}), t AS ({ATTACHED}), pr AS (SELECT s.label AS block, s.a, s.b FROM ({DIST}) s JOIN l x ON x.block = s.label AND x.vec_id = s.a AND x.label = -1 JOIN l y ON y.block = s.label AND y.vec_id = s.b AND y.label = -1 WHERE round(2.2 - s.d, 6) >= 1.5), hop AS (SELECT block, b AS node, max(a) AS nxt FROM pr WHERE a < b GROUP BY block, b), walked AS (SELECT block, node, nxt FROM hop UNION ALL SELECT w.block, w.node, h.nxt FROM walked w JOIN hop h ON h.block = w.block AND h.node = w.nxt), root AS (SELECT block, node, min(nxt) AS giver FROM walked GROUP BY block, node), fin AS (SELECT block, b, max(a) AS a FROM pr GROUP BY block, b) SELECT t.block, t.vec_id, coalesce(g.label, t.label) AS label FROM t LEFT JOIN fin ON fin.block = t.block AND fin.b = t.vec_id LEFT JOIN root ON root.block = fin.block AND root.node = fin.a LEFT JOIN t g ON g.block = fin.block AND g.vec_id = coalesce(root.giver, fin.a)"
 
 
-@query("c03_relabel")
+@query("c03_relabel", RELABELLED)
 def c03_relabel(spark, d):
-    """The ordered fold; checked against a plain loop in the tests."""
-    labels = dbscan_labels(spark, d)
-    noise = labels.where("label = -1").select("block", F.col("vec_id").alias("x"))
-    scores = distances(spark, d).select("block", "a", "b", F.round(2.2 - F.col("d"), 6).alias("score"))
-    among = scores.join(noise.withColumnRenamed("x", "a"), ["block", "a"]).join(noise.withColumnRenamed("x", "b"), ["block", "b"])
-    return cluster.relabel_in_order(labels, among, ["block"], "vec_id")
+    """Noise takes the labels of noise near it, after C02."""
+    noise = written(dbscan_labels(spark, d).where("label = -1").select("block", F.col("vec_id").alias("x")), "noise")
+    among = pair_scores(spark, d).join(noise.withColumnRenamed("x", "a"), ["block", "a"]).join(noise.withColumnRenamed("x", "b"), ["block", "b"])
+    return cluster.relabel_in_order(written(attached_labels(spark, d), "attached"), among, ["block"], "vec_id")
 
 
 @query("c04_cluster_lists", sql(f"SELECT block, label, list(vec_id ORDER BY vec_id) AS members FROM ({DBSCAN}) GROUP BY block, label"))
@@ -218,6 +230,13 @@ def word_edges(spark, d):
     return pairs.groupBy("block", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).where("w > 3")
 
 
+def person_edges(spark, d):
+    """Papers of one person with more than three words in common: the graph of a profile, which stays small as the tables grow."""
+    rows = papers(spark, d).select("pid", "aid").join(words(spark, d), "pid")
+    pairs = rows.withColumnRenamed("pid", "a").join(rows.withColumnRenamed("pid", "b"), ["aid", "word"]).where("a < b")
+    return pairs.groupBy("aid", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).where("w > 3")
+
+
 @query("v23_adjacency", sql("SELECT block, a, b, sum(w) / 2 AS w FROM (SELECT block, a, b, w FROM edges UNION ALL SELECT block, b, a, w FROM edges UNION ALL SELECT block, n, n, 2.0 FROM (SELECT block, a AS n FROM edges UNION SELECT block, b FROM edges)) GROUP BY block, a, b", "papers", "split", "words", edges=EDGES))
 def v23_adjacency(spark, d):
     """Symmetric with self loops."""
@@ -282,5 +301,5 @@ def g03_biased_walk(spark, d):
 
 @query("g09_spectral")
 def g09_spectral(spark, d):
-    """Spectral vectors of each block's graph, 100 dimensions; signs are free, so the tests compare their products."""
-    return graph.spectral(graph.symmetric(word_edges(spark, d), ["block"]), "block", 100)
+    """Spectral vectors of each person's graph, 100 dimensions; signs are free, so the tests compare their products."""
+    return graph.spectral(graph.symmetric(person_edges(spark, d), ["aid"]), "aid", 100)

@@ -37,7 +37,7 @@ def w12_token_budget(spark, d):
 @query("w13_renumber", sql("SELECT pid, block, CAST(row_number() OVER (PARTITION BY block ORDER BY pid) - 1 AS INTEGER) AS idx FROM papers", "papers"))
 def w13_renumber(spark, d):
     """0 .. n - 1 within a block."""
-    return ranking.numbered(papers(spark, d), ["block"], ["pid"], "rn").select("pid", "block", (F.col("rn") - 1).alias("idx"))
+    return ranking.number_large(papers(spark, d), ["block"], ["pid"], "rn").select("pid", "block", (F.col("rn") - 1).cast("int").alias("idx"))
 
 
 @query("w14_adjacent_dedup", "SELECT conv_id, turn, role FROM conversations QUALIFY lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) IS NULL OR lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) <> role")

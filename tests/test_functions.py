@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,52 @@ def test_attach_and_relabel(spark):
     assert {r["id"]: r["label"] for r in cluster.relabel_in_order(own, pairs, ["block"], "id").collect()} == {1: 10, 2: 20, 3: 20, 4: 20}
 
 
+def test_relabel_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    labels = [(b, i, 100 * i) for b in ("x", "y") for i in range(25)]
+    pairs = [(b, int(i), int(j), float(s)) for b in ("x", "y") for i, j, s in zip(rng.integers(0, 27, 60), rng.integers(0, 27, 60), rng.choice([1.4, 1.5, 1.9], 60))]
+    want = {(b, i): n for b, i, n in labels}
+    for b, i, j in sorted((b, i, j) for b, i, j, s in pairs if s >= 1.5):
+        if (b, i) in want and (b, j) in want:
+            want[b, j] = want[b, i]
+    got = cluster.relabel_in_order(spark.createDataFrame(labels, "block string, id bigint, label bigint"), spark.createDataFrame(pairs, "block string, a bigint, b bigint, score double"), ["block"], "id")
+    assert {(r["block"], r["id"]): r["label"] for r in got.collect()} == want
+
+
+def test_running_sums_of_large_and_null_groups(spark):
+    rows = [(None if i % 3 == 0 else "a", i * 7 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o int, v bigint").repartition(7)
+    got = {r["o"]: (r["n"], r["s"]) for r in ranking.running(df, ["g"], ["o"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    for g in (None, "a"):
+        s = 0
+        for n, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            s += v
+            assert got[o] == (n, s)
+    folds = ranking.equal_folds(df, ["g"], ["o"], 7)
+    assert folds.columns == ["g", "o", "v", "fold"] and folds.count() == 1000
+    sizes = sorted(r["count"] for r in folds.groupBy("g", "fold").count().collect())
+    assert sizes == sorted(len(x) for n in (334, 666) for x in np.array_split(range(n), 7))
+    assert ranking.equal_folds(df.limit(0), ["g"], ["o"], 7).count() == 0
+
+
+def test_text_vectors_are_the_truncated_decomposition(spark):
+    """Against numpy, where terms do not clash; fewer directions than dimensions give zeros, no rows none."""
+    from namewright.operators.learned import text_vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{x}" for x in rng.integers(0, 40, 30)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    terms = sorted({t for _, ts in rows for t in ts})
+    m = np.array([[ts.count(t) for t in terms] for _, ts in rows], dtype=float)
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    want = (u[:, :5] * s[:5]) @ (u[:, :5] * s[:5]).T
+    got = {r["id"]: r["latent"] for r in text_vectors(df, "tokens", dims=5, weigh=False).collect()}
+    have = np.array([got[i] for i in range(60)])
+    assert np.allclose(have @ have.T, want, atol=1e-6)
+    few = text_vectors(df.where("id < 3"), "tokens", dims=8, weigh=False).collect()
+    assert all(len(r["latent"]) == 8 for r in few) and text_vectors(df.limit(0), "tokens", dims=8).count() == 0
+
+
 def test_walks_follow_edges(spark):
     edges = spark.createDataFrame([("author", p, f"a{p // 2}") for p in range(8)] + [("org", p, f"o{p % 2}") for p in range(8)], "rel string, pid bigint, token string")
     starts = spark.createDataFrame([(p,) for p in range(8)], "pid bigint")

@@ -91,10 +91,26 @@ def w04_rank_candidates(spark, d):
     return ranking.numbered(pair_scores(spark, d), ["pid"], [F.desc("score"), "aid"]).select("pid", "aid", "score", "rank")
 
 
+def best_scores(spark, d) -> DataFrame:
+    """The pairs of ``pair_scores`` among which each slot's best is: those with something in common and, for every slot, its block's nearest person in years.
+
+    Without anything in common only the year gap counts, so one person, the smallest, of
+    each block and last year stands for all; years meet years, never slots persons. Where
+    that person has something in common with the slot, the true score is higher and wins.
+    """
+    slots, persons, common = sides(spark, d)
+    hits = scored(with_gap(common.join(slots, "pid").join(persons, ["block", "aid"])))
+    first = persons.groupBy("block", "last_year").agg(F.min("aid").alias("aid"))
+    years = slots.select("block", "slot_year").distinct().join(first, "block").withColumn("gap", year_gap(F.col("slot_year"), F.col("last_year")))
+    nearest = years.groupBy("block", "slot_year").agg(F.min(F.struct("gap", "aid")).alias("near")).select(F.col("block").alias("of_block"), F.col("slot_year").alias("of_year"), "near.gap", "near.aid")
+    bare = slots.join(nearest, (F.col("block") == F.col("of_block")) & F.col("slot_year").eqNullSafe(F.col("of_year"))).select("pid", "aid", F.lit(0).alias("coauthors"), F.lit(0).alias("words"), "gap")
+    return hits.unionByName(scored(bare))
+
+
 @query("w05_top1", scores_sql(BEST))
 def w05_top1(spark, d):
     """The best candidate of each slot."""
-    return ranking.top_1(pair_scores(spark, d), ["pid"], "score", "aid", ["aid", "score"])
+    return ranking.top_1(best_scores(spark, d), ["pid"], "score", "aid", ["aid", "score"])
 
 
 @query("w07_multi_assign", scores_sql("SELECT aid, list(pid ORDER BY pid) AS pids FROM scores WHERE score >= 4 GROUP BY aid"))

@@ -117,7 +117,7 @@ class Book:
     """One part position's entries, with its tree for ordinary values and, where needed, that for large ones."""
 
     def __init__(self, entries: list[list[int]]):
-        self.entries = np.array(entries, object).reshape(len(entries), -1)
+        self.entries = np.array(entries, object).reshape(len(entries), len(entries[0]) if entries else 0)
         self.small = all(abs(v) < EXACT for v in self.entries.ravel())
         self.trees: dict = {}
 

@@ -83,12 +83,11 @@ def alignment(texts):
     """Contract 12 by loops over tokens."""
     import public_tokenizers as P
     from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer, decoders, pre_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
 
     side_a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     side_a.encode_special_tokens = True
     side_b = SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    assert decoders and pre_tokenizers
     byte_of = {pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0]: b for b in range(128)}
     for b in range(128, 256):  # two bytes a character: the second one's sign is the last
         for lead in (0xC2, 0xC3):
@@ -110,9 +109,9 @@ def alignment(texts):
             out.append(([], [], [], []))
             continue
         ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
-        groups, i, j = [], 0, 0
+        groups, i, j, at_a, at_b = [], 0, 0, {e: n for n, e in enumerate(ends_a)}, {e: n for n, e in enumerate(ends_b)}
         for end in sorted(set(ends_a) & set(ends_b)):
-            to_a, to_b = ends_a.index(end) + 1, ends_b.index(end) + 1
+            to_a, to_b = at_a[end] + 1, at_b[end] + 1
             groups.append((a[i:to_a], b[j:to_b]))
             i, j = to_a, to_b
         links, since = [], 0
@@ -137,16 +136,20 @@ def alignment(texts):
     ]
 
 
+@pytest.fixture(scope="module")
+def by_loops(docs):
+    got = docs.select("doc_id", "text").collect()
+    return sorted(((r["doc_id"], *x) for r, x in zip(got, alignment([r["text"] for r in got]), strict=True)), key=repr)
+
+
 @pytest.mark.parametrize("most,run,held", [(1 << 19, 1 << 22, 1 << 22), (40, 3000, 50), (0, 1, 1)])
-def test_alignment(docs, monkeypatch, most, run, held):
+def test_alignment(docs, by_loops, monkeypatch, most, run, held):
     """Also with hardly any broadcast pair, runs of a document each and tiny tables in tasks."""
     from namewright.llm import align
 
     monkeypatch.setattr(align, "RUN", run)
     monkeypatch.setattr(align, "HELD", held)
-    got = docs.select("doc_id", "text").collect()
-    want = [(r["doc_id"], *x) for r, x in zip(got, alignment([r["text"] for r in got]), strict=True)]
-    assert listed(align.aligned(docs, most=most)) == sorted(want, key=repr)
+    assert listed(align.aligned(docs, most=most)) == by_loops
 
 
 def test_alignment_of_nothing(docs):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from namewright.functions import similarity
-from namewright.operators import cluster, graph
+from namewright.operators import node2vec, cluster, graph
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, orgs, papers, split, sql, table, words
 from namewright.sources.shared import written
@@ -299,6 +299,37 @@ def g03_biased_walk(spark, d):
     return graph.walks(relations(spark, d), papers(spark, d).select("pid"), steps=10, walks_each=1, relations=["author"], back=4.0)
 
 
+def keyword_graph(spark, d):
+    """G05 as (src, dst, w) in both directions: new papers of a block by their common words, if more than two."""
+    from namewright.plans.relational import j08_token_overlap
+
+    one = written(j08_token_overlap(spark, d), "keyword-graph")
+    return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("common").alias("w")).unionByName(one.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("common").alias("w")))
+
+
+WALK_PARTS = dict(
+    fresh="SELECT block, pid, word FROM split JOIN words USING (pid) WHERE is_new",
+    edges="SELECT a.pid AS src, b.pid AS dst, CAST(count(*) * 1048576 AS BIGINT) AS w FROM fresh a JOIN fresh b ON a.block = b.block AND a.word = b.word AND a.pid <> b.pid GROUP BY a.pid, b.pid HAVING count(*) > 2",
+    placed="SELECT *, CAST(coalesce(sum(w) OVER (PARTITION BY src ORDER BY md5(CAST(dst AS VARCHAR)), dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo, CAST(sum(w) OVER (PARTITION BY src) AS BIGINT) AS total FROM edges",
+)
+HOP = "SELECT w.*, n.total, coalesce(b.lo, 0) AS back_lo, coalesce(b.w, 0) AS back_w, CASE WHEN n.total = b.w THEN greatest(CAST(floor(coalesce(b.w, 0) / 4.0) AS BIGINT), 1) ELSE CAST(floor(coalesce(b.w, 0) / 4.0) AS BIGINT) END AS rest FROM walk w JOIN (SELECT DISTINCT src, total FROM placed) n ON n.src = w.pos LEFT JOIN placed b ON b.src = w.pos AND b.dst = w.came WHERE step < 9"
+DRAW = f"SELECT *, least(CAST(floor(CAST('0x' || substr(md5('0:' || (step + 1) || ':0|1|' || start), 1, 13) AS BIGINT) / 4503599627370496.0 * (total - back_w + rest)) AS BIGINT), total - back_w + rest - 1) AS u FROM ({HOP})"
+MOVE = f"SELECT step, start, pos, path, CASE WHEN u < back_lo THEN u WHEN u < back_lo + rest THEN back_lo ELSE u + back_w - rest END AS u FROM ({DRAW})"
+WEIGHTED_WALK = sql("SELECT CAST(1 AS INTEGER) AS walk, start, path FROM walk WHERE step = 9", "papers", "split", "words", **WALK_PARTS, walk=f"SELECT DISTINCT 0 AS step, src AS start, src AS pos, CAST(NULL AS BIGINT) AS came, [src] AS path FROM placed UNION ALL SELECT step + 1, start, e.dst, m.pos, list_append(path, e.dst) FROM ({MOVE}) m JOIN placed e ON e.src = m.pos AND u >= e.lo AND u < e.lo + e.w").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("g03_weighted_walk", WEIGHTED_WALK)
+def g03_weighted_walk(spark, d):
+    """Walks of ten papers over the keyword graph, neighbours drawn by common words, the paper before at a quarter of its weight."""
+    return node2vec.biased_walks(keyword_graph(spark, d), 10)
+
+
+@query("g04_node2vec")
+def g04_node2vec(spark, d):
+    """32 dimensions from five walks of twenty papers each over the keyword graph."""
+    return node2vec.node_vectors(keyword_graph(spark, d), length=20, walks_each=5).select(F.col("word").cast("bigint").alias("pid"), "vector")
+
+
 @query("g09_spectral")
 def g09_spectral(spark, d):
     """Spectral vectors of each person's graph, 100 dimensions; signs are free, so the tests compare their products."""

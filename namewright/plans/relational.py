@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from namewright.functions import names, similarity
-from namewright.operators import blocking, ranking
+from namewright.operators import blocking, namejoin, ranking
 from namewright.plans.registry import query
-from namewright.plans.views import coauthors, orgs, papers, split, sql, table, words
+from namewright.plans.views import coauthors, lines, orgs, papers, split, sql, table, words
+from namewright.sources.shared import written
 
 AUTHORS = "SELECT pid, list(author ORDER BY author) AS authors FROM coauthors GROUP BY pid"
 
@@ -212,21 +213,27 @@ def u06_recombine(spark, d):
     return table(spark, d, "labels").select("doc_id", "quality", F.when(F.col("quality") == 1, "normal").otherwise("outlier").alias("kind"))
 
 
+def short_name(name: str):
+    """First initial and last word."""
+    tokens = F.split(name, " ")
+    return F.concat_ws(" ", F.substring(F.element_at(tokens, 1), 1, 1), F.element_at(tokens, -1))
+
+
 @query("j03_fuzzy_names")
 def j03_fuzzy_names(spark, d):
-    """Candidates by name rules: distinct names meet by a token or an initial, each pair is judged once, the strictest rule wins."""
-    from pyspark.sql import Window
-
-    p = table(spark, d, "part").select("p_name").distinct()
-    tokens = F.split("p_name", " ")
-    short = F.concat_ws(" ", F.substring(F.element_at(tokens, 1), 1, 1), F.element_at(tokens, -1))
-    slots = p.select(F.when(F.xxhash64("p_name") % 2 == 0, short).otherwise(F.array_join(F.reverse(tokens), " ")).alias("slot")).distinct()
-    left = slots.select("slot", F.explode(F.array_distinct(F.split("slot", " "))).alias("token")).where(F.length("token") > 1)
-    right = p.select(F.col("p_name").alias("name"), F.explode(F.array_distinct(tokens)).alias("token"))
-    pairs = left.join(right, "token").select("slot", "name").distinct()
-    judged = blocking.rule_matches(pairs, "slot", "name", names.name_rule).where("rule > 0")
-    first = F.row_number().over(Window.partitionBy("slot").orderBy("rule", "name"))
-    return judged.withColumn("first_", first).where("first_ = 1").select("slot", "name", "rule")
+    """Candidates by name rules: distinct names meet by the signatures of the rules, each pair is judged once, the strictest rule wins."""
+    p = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    slots = p.select(F.when(F.xxhash64("name") % 2 == 0, short_name("name")).otherwise(F.array_join(F.reverse(F.split("name", " ")), " ")).alias("slot")).distinct()
+    return namejoin.matching_names(slots, p, "slot", "name").groupBy("slot").agg(F.min(F.struct("rule", "name")).alias("first_")).select("slot", "first_.name", "first_.rule")
+
+
+@query("j15_author_lists")
+def j15_author_lists(spark, d):
+    """Names of a new paper, every other one short, against the names on its person's older papers: how many of these match any of those by a rule."""
+    rows = split(spark, d).select("pid", "aid", "is_new")
+    named = written(rows.join(lines(spark, d).withColumnRenamed("l_orderkey", "pid"), "pid").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey").select("pid", "aid", "is_new", "l_linenumber", "name"), "named")
+    mine = named.where("is_new").select("pid", F.when(F.col("l_linenumber") % 2 == 0, short_name("name")).otherwise(F.col("name")).alias("name"))
+    return namejoin.matched_lists(rows.where("is_new").select("pid", "aid"), mine, named.where("not is_new").select("aid", "name"), "pid", "aid", "name")
 
 
 @query("p11_columns", "SELECT o_orderkey AS pid, o_custkey AS aid FROM orders WHERE o_custkey IS NOT NULL")

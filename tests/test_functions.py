@@ -259,3 +259,46 @@ def test_nearest_names_refuse_unbounded_lists(spark):
     assert [(r["name"], r["rank"]) for r in blocking.nearest_names(slots, names_, d, "slot", "name").orderBy("rank").collect()] == [("abc", 1), ("abd", 2)]
     with pytest.raises(ValueError):
         blocking.nearest_names(slots, names_, d, "slot", "name", most=2)
+
+
+def odd_names(n):
+    rnd = random.Random(7)
+    words = "li wei xiao hua chen wang xiaohua j s a jo john smith johns smit quincy q maria lopez lope anna ann an ab abab ba aa bc abc le long zhang ming m w x johnsmith jos".split()
+    names_ = {" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 2, 3, 3, 3, 4, 5]))) for _ in range(n)}
+    return sorted(names_ | {" ".join("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 4))) for _ in range(n // 4)})
+
+
+def test_no_match_escapes_its_signature():
+    """All pairs of some 600 names made to match by every rule."""
+    from collections import Counter
+
+    from namewright.operators.namejoin import signatures
+
+    listed = odd_names(520)
+    keys = {n: signatures(n) for n in listed}
+    ask, answer = ({n: {k for asks, k in v if asks == side} for n, v in keys.items()} for side in (True, False))
+    hits, met = Counter(), 0
+    for i, a in enumerate(listed):
+        for b in listed[: i + 1]:
+            meets = bool(ask[a] & answer[b] or ask[b] & answer[a])
+            rule = names.rule_number(a, b)
+            assert meets or not rule, (a, b, rule)
+            hits[rule] += 1
+            met += meets
+    assert {1, 2, 3, 4, 6, 7} <= hits.keys() and met < 0.1 * len(listed) ** 2
+
+
+def test_matching_names_equal_nested_loops(spark):
+    from namewright.operators.namejoin import matched_lists, matching_names
+
+    left = [*odd_names(60), "J. Smith", "José  García", "", "...", None, "j s", "john smith", "john smith"]
+    right = [*odd_names(50), "JOHN SMITH", "jose garcia", None, "9", "john smith"]
+    a, b = spark.createDataFrame([(x, "x") for x in left], "a string, plain string"), spark.createDataFrame([(x, "x") for x in right], "b string, x string")
+    got = sorted((r["a"], r["b"], r["rule"]) for r in matching_names(a, b, "a", "b").collect())
+    want = sorted((x, y, k) for x in {x for x in left if x} for y in {y for y in right if y} if (k := names.rule_number(x, y)))
+    assert got == want and ("j s", "john smith") in {(x, y) for x, y, _ in got}
+    lists = {1: left[:9], 2: left[9:], 3: [None], 4: []}, {7: right[:20], 8: right[20:], 9: [None, "qqq"]}
+    frames = [spark.createDataFrame([(k, n) for k, v in side.items() for n in v], f"{c} int, name string") for side, c in zip(lists, ("l", "r"), strict=True)]
+    pairs = [(x, y) for x in lists[0] for y in lists[1]]
+    counted = {(r["l"], r["r"]): r["matched"] for r in matched_lists(spark.createDataFrame([*pairs, pairs[0]], "l int, r int"), *frames, "l", "r", "name").collect()}
+    assert counted == {(x, y): sum(any(names.rule_number(m or "", n) for m in lists[0][x]) for n in {n for n in lists[1][y] if n}) for x, y in pairs}

@@ -45,15 +45,37 @@ def test_rows_only(spark, data, name):
 
 
 def test_fuzzy_names_by_brute_force(spark, data, duck):
-    """Each slot's strictest rule over all names that share a word with it."""
+    """Each slot's strictest rule over all names there are."""
     from namewright.functions.names import rule_number
 
     got = {r["slot"]: (r["rule"], r["name"]) for r in entry.queries()["j03_fuzzy_names"](spark, data).collect()}
     all_names = [r[0] for r in duck.sql("select distinct p_name from part").fetchall()]
     assert len(got) > 20
     for slot, best in got.items():
-        near = [n for n in all_names if {w for w in slot.split() if len(w) > 1} & set(n.split())]
-        assert best == min((k, n) for n in near if (k := rule_number(slot, n)))
+        assert best == min((k, n) for n in all_names if (k := rule_number(slot, n)))
+
+
+def test_author_lists_by_brute_force(spark, data, duck):
+    from namewright.functions.names import rule_number
+
+    got = {(r["pid"], r["aid"]): r["matched"] for r in entry.queries()["j15_author_lists"](spark, data).collect()}
+    new = {}
+    order = "row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) > count(*) over (partition by o_custkey) - floor(count(*) over (partition by o_custkey) * 0.2)"
+    split = duck.sql(f"select o_orderkey, o_custkey, {order} from orders").fetchall()
+    named = {}
+    for pid, line, name in duck.sql("select l_orderkey, l_linenumber, p_name from lineitem join part on l_partkey = p_partkey").fetchall():
+        named.setdefault(pid, []).append((line, name))
+    older = {}
+    for pid, aid, is_new in split:
+        if is_new:
+            new[pid, aid] = {f"{n[0]} {n.split()[-1]}" if line % 2 == 0 else n for line, n in named.get(pid, [])}
+        else:
+            older.setdefault(aid, set()).update(n for _, n in named.get(pid, []))
+    assert len(got) == len(new) and max(got.values()) > 1
+    rules = {}
+    for (pid, aid), mine in new.items():
+        theirs = older.get(aid, set())
+        assert got[pid, aid] == sum(any(rules.setdefault((a, b), rule_number(a, b)) for a in mine) for b in theirs)
 
 
 def test_spectral_products(spark, data):

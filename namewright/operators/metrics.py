@@ -53,7 +53,11 @@ def macro(truth: DataFrame, pred: DataFrame, aid: str, pid: str) -> DataFrame:
 def hits_mrr(df: DataFrame, slot: str, score: str, tie: str, positive: Column) -> DataFrame:
     """Hits at 1, 3 and 5 and mean reciprocal rank of each slot's positive."""
     rank = F.row_number().over(Window.partitionBy(slot).orderBy(F.desc(score), tie))
-    found = df.withColumn("rank", rank).where(positive)
+    return of_ranks(df.withColumn("rank", rank).where(positive))
+
+
+def of_ranks(found: DataFrame) -> DataFrame:
+    """E04 from the positives' ranks."""
     return found.agg(*[F.avg((F.col("rank") <= k).cast("int")).alias(f"hits_{k}") for k in (1, 3, 5)], F.avg(1 / F.col("rank")).alias("mrr"))
 
 

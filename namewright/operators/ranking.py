@@ -93,27 +93,30 @@ def adjacent_distinct(df: DataFrame, by: list[str], order: list, value: str) ->
     return df.withColumn("before_", before).where(F.col("before_").isNull() | (F.col("before_") != F.col(value))).drop("before_")
 
 
-def two_best(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Of each group the best, second best (null if alone), worst and mean score, by aggregations that combine map-side and no sort.
+def two_best(df: DataFrame, by: list[str], score: str, n: str | None = None) -> DataFrame:
+    """Of each group the best, second best (null if alone), worst and mean score, by aggregations that combine map-side; no list of a group's scores is made.
 
-    Scores are counted first, so of a best score that occurs twice the second is the same.
+    Scores are counted first (``n``: a row stands for so many), so of a best score that
+    occurs twice the second is the same; else it is the greatest below the best.
     """
-    counted = df.groupBy(*by, F.col(score).alias("s_")).agg(F.count(F.lit(1)).alias("n_"))
+    times = F.count(F.lit(1)) if n is None else F.sum(n)
+    counted = written(df.groupBy(*by, F.col(score).alias("s_")).agg(times.alias("n_")), "score-counts")
     best = F.max(F.struct("s_", "n_")).alias("best_")
-    out = counted.groupBy(*by).agg(best, F.max("s_").alias("s1"), F.min("s_").alias("s0"), (F.sum(F.col("s_") * F.col("n_")) / F.sum("n_")).alias("mean"), F.slice(F.sort_array(F.collect_set("s_"), asc=False), 2, 1).alias("next_"))
-    return out.select(*by, "s1", "s0", "mean", F.when(F.col("best_.n_") > 1, F.col("s1")).otherwise(F.get("next_", F.lit(0))).alias("s2"))
+    out = counted.groupBy(*by).agg(best, F.max("s_").alias("s1"), F.min("s_").alias("s0"), (F.sum(F.col("s_") * F.col("n_")) / F.sum("n_")).alias("mean"))
+    below = counted.join(out.select(*by, "s1"), by).where("s_ < s1").groupBy(*by).agg(F.max("s_").alias("next_"))
+    return out.join(below, by, "left").select(*by, "s1", "s0", "mean", F.when(F.col("best_.n_") > 1, F.col("s1")).otherwise(F.col("next_")).alias("s2"))
 
 
-def top_gap(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
+def top_gap(df: DataFrame, by: list[str], score: str, tie: str, n: str | None = None) -> DataFrame:
     """(best - second) / (best - worst + 1e-8) of each group, 0 if all are equal or alone."""
-    out = two_best(df, by, score)
+    out = two_best(df, by, score, n)
     gap = F.when(F.col("s1") == F.col("s0"), 0.0).otherwise((F.col("s1") - F.coalesce("s2", "s1")) / (F.col("s1") - F.col("s0") + 1e-8))
     return out.select(*by, gap.alias("top_gap"))
 
 
-def nil_features(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
+def nil_features(df: DataFrame, by: list[str], score: str, tie: str, n: str | None = None) -> DataFrame:
     """Best, mean and two relative gaps to the second; a single candidate gives [s, s, 0, 0]."""
-    out = two_best(df, by, score)
+    out = two_best(df, by, score, n)
     gap = lambda low: F.when(F.col("s2").isNull(), 0.0).otherwise((F.col("s1") - F.col("s2")) / (1e-8 + F.col("s1") - F.col(low)))
     return out.select(*by, F.col("s1").alias("best"), F.col("mean"), gap("mean").alias("gap_mean"), gap("s0").alias("gap_min"))
 

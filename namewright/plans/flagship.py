@@ -119,28 +119,79 @@ def w07_multi_assign(spark, d):
     return scores_above_zero(spark, d).where("score >= 4").groupBy("aid").agg(F.sort_array(F.collect_list("pid")).alias("pids"))
 
 
+def bare_scores(slots: DataFrame, persons: DataFrame) -> DataFrame:
+    """(block, slot_year, last_year, gap, score, n): the score of a person with nothing in common, and how many persons of the block and last year there are. As many rows as a block has pairs of years."""
+    of_year = persons.groupBy("block", "last_year").agg(F.count(F.lit(1)).alias("n"))
+    years = slots.select("block", "slot_year").distinct().join(of_year, "block").withColumn("gap", year_gap(F.col("slot_year"), F.col("last_year")))
+    return scored(years.withColumns({"coauthors": F.lit(0), "words": F.lit(0)})).select("block", "slot_year", "last_year", "gap", "score", "n")
+
+
+def of_slot(slots: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each slot with the rows of its block and year, which may be null."""
+    rows = rows.withColumnsRenamed({"block": "of_block", "slot_year": "of_year"})
+    return slots.join(rows, (F.col("block") == F.col("of_block")) & F.col("slot_year").eqNullSafe(F.col("of_year"))).drop("of_block", "of_year")
+
+
+def score_counts(slots: DataFrame, persons: DataFrame, common: DataFrame) -> DataFrame:
+    """(pid, score, n): how many persons of its block each slot gives each score. Slots never meet persons.
+
+    A block's persons are counted by last year, which alone decides the score of those
+    with nothing in common; a slot's others take one from their year's count and add
+    their own score.
+    """
+    hits = written(scored(with_gap(common.join(slots, "pid").join(persons, ["block", "aid"]))), "hits")
+    bare = of_slot(slots, bare_scores(slots, persons)).select("pid", "score", "n")
+    less = scored(hits.select("pid", "gap", F.lit(0).alias("coauthors"), F.lit(0).alias("words"))).select("pid", "score", F.lit(-1).alias("n"))
+    rows = bare.unionByName(less).unionByName(hits.select("pid", "score", F.lit(1).alias("n")))
+    return rows.groupBy("pid", "score").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def true_ranks(slots: DataFrame, persons: DataFrame, common: DataFrame, truth: DataFrame) -> DataFrame:
+    """(pid, rank) of each slot's true person, if that is a candidate: better scores counted, then the equal scores of smaller ids.
+
+    Of the equals with nothing in common the smaller ids are counted within the block and
+    last years that give this score, by one running count over persons and true persons.
+    """
+    common = written(common, "common")
+    hits = written(scored(with_gap(common.join(slots, "pid").join(persons, ["block", "aid"]))), "hits")
+    own = slots.join(truth, "pid").join(persons.withColumnRenamed("aid", "true_aid"), ["block", "true_aid"])
+    own = own.join(common.withColumnRenamed("aid", "true_aid"), ["pid", "true_aid"], "left").withColumnRenamed("true_aid", "aid")
+    own = written(scored(with_gap(own)).select("pid", F.col("aid").alias("true_aid"), F.col("score").alias("true_score")), "own")
+    counts = score_counts(slots, persons, common)
+    better = counts.join(own, "pid").where("score > true_score").select("pid", "n")
+    equal_hits = hits.join(own, "pid").where("score = true_score and aid < true_aid").select("pid", F.lit(1).alias("n"))
+    # Persons with nothing in common: all of the year groups with this score, less those that have something in common after all.
+    groups = of_slot(slots, bare_scores(slots, persons).drop("n")).join(own, "pid").where("score = true_score").select("pid", "block", "last_year", "true_aid")
+    line = persons.select("block", "last_year", "aid", F.lit(None).cast("bigint").alias("pid")).unionByName(groups.select("block", "last_year", F.col("true_aid").alias("aid"), "pid"))
+    line = ranking.running(line, ["block", "last_year"], ["aid", F.asc_nulls_last("pid")], {"n": F.col("pid").isNull().cast("bigint")})
+    smaller = line.where("pid is not null").select("pid", "n")
+    shadow = scored(hits.select("pid", "aid", "gap", F.lit(0).alias("coauthors"), F.lit(0).alias("words"))).join(own, "pid").where("score = true_score and aid < true_aid").select("pid", F.lit(-1).alias("n"))
+    ahead = better.unionByName(equal_hits).unionByName(smaller).unionByName(shadow).groupBy("pid").agg(F.sum("n").alias("ahead"))
+    return own.join(ahead, "pid", "left").select("pid", (F.coalesce("ahead", F.lit(0)) + 1).alias("rank"))
+
+
 GAPS = "SELECT pid, max(score) AS s1, avg(score) AS mean, min(score) AS s0, max(CASE WHEN rn = 2 THEN score END) AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, aid) AS rn FROM scores) GROUP BY pid"
 
 
 @query("a21_top_gap", scores_sql(f"SELECT pid, round(CASE WHEN s1 = s0 THEN 0.0 ELSE (s1 - coalesce(s2, s1)) / (s1 - s0 + 1e-8) END, 6) AS top_gap FROM ({GAPS})"))
 def a21_top_gap(spark, d):
     """Normalised gap between the two best."""
-    return ranking.top_gap(pair_scores(spark, d), ["pid"], "score", "aid").withColumn("top_gap", F.round("top_gap", 6))
+    return ranking.top_gap(score_counts(*sides(spark, d)), ["pid"], "score", "aid", "n").withColumn("top_gap", F.round("top_gap", 6))
 
 
 @query("a22_nil_features", scores_sql(f"SELECT pid, round(s1, 7) AS best, round(mean, 7) AS mean, round(CASE WHEN s2 IS NULL THEN 0.0 ELSE (s1 - s2) / (1e-8 + s1 - mean) END, 7) AS gap_mean, round(CASE WHEN s2 IS NULL THEN 0.0 ELSE (s1 - s2) / (1e-8 + s1 - s0) END, 7) AS gap_min FROM ({GAPS})"))
 def a22_nil_features(spark, d):
     """What a NIL decision looks at."""
-    return ranking.nil_features(pair_scores(spark, d), ["pid"], "score", "aid").select("pid", *[F.round(c, 7).alias(c) for c in ("best", "mean", "gap_mean", "gap_min")])
+    return ranking.nil_features(score_counts(*sides(spark, d)), ["pid"], "score", "aid", "n").select("pid", *[F.round(c, 7).alias(c) for c in ("best", "mean", "gap_mean", "gap_min")])
 
 
 @query("e04_hits_mrr", scores_sql("SELECT round(avg(CAST(rn <= 1 AS INT)), 6) AS hits_1, round(avg(CAST(rn <= 3 AS INT)), 6) AS hits_3, round(avg(CAST(rn <= 5 AS INT)), 6) AS hits_5, round(avg(1.0 / rn), 6) AS mrr FROM (SELECT s.pid, s.aid, row_number() OVER (PARTITION BY s.pid ORDER BY score DESC, s.aid) AS rn FROM scores s) r JOIN papers p ON p.pid = r.pid AND p.aid = r.aid"))
 def e04_hits_mrr(spark, d):
-    """Where the true person ranks."""
-    from namewright.operators.metrics import hits_mrr
+    """Where the true person ranks; ranks come from counts of scores, not from pairs."""
+    from namewright.operators.metrics import of_ranks
 
     truth = papers(spark, d).select("pid", F.col("aid").alias("true_aid"))
-    out = hits_mrr(pair_scores(spark, d).join(truth, "pid"), "pid", "score", "aid", F.col("aid") == F.col("true_aid"))
+    out = of_ranks(true_ranks(*sides(spark, d), truth))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

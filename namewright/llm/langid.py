@@ -5,7 +5,8 @@ mixture of languages: expectation-maximisation finds the proportions that make i
 n-grams likeliest. Its language set grows along the proportions of the full mixture and
 stops where another language does not raise the likelihood by more than its penalty.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; documents
+Edge cases: a null text, or one without a letter (numerals and signs that print as letters are
+none), is ``und`` with score 0; more than ``MOST_LANGUAGES`` languages are refused; documents
 with a null language do not train; if nothing trains, every text is ``und``; repeated
 rows train and are scored one by one; ties go to the language first in code point order;
 an empty table gives an empty one; extra columns are not read.
@@ -13,8 +14,6 @@ an empty table gives an empty one; extra columns are not read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +27,8 @@ SIZES, BITS = (2, 3, 4), 16
 MOST_DOCS = 2_000
 #: Log-likelihood that a further language must add: PENALTY x log(number of n-grams). N-grams overlap, so it is above the 1/2 of independent draws.
 PENALTY, ROUNDS = 4.0, 25
-LETTER = re.compile(r"[^\W\d_]")
+#: The model is a table of 2**BITS numbers a language, and every worker holds it: 256 MB at most.
+MOST_LANGUAGES = 1_000
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +45,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     train = df.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), text_of(text).alias("text")).where(F.col("lang").isNotNull() & (bucket_of(F.col("key"), 4) != 2))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     langs = sorted(sizes)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} are learned")
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32)
     draw = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
@@ -112,7 +114,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not langs or not LETTER.search(t):
+                if not langs or not any(map(str.isalpha, t)):
                     rows.append({"key": k, "lang_pred": "und", "score": 0.0, "languages": []})
                     continue
                 at, n = gram_counts(t)

@@ -21,6 +21,7 @@ def texts():
     out += [b[:30] + passage + b[30:] for b in base[10:16]]
     out += ["naïve Größe 中文 текст " * 30, "中" * 130, "x" * 9000, " ".join(base) * 12, "ab " * 400]
     out += ['password = "hunter22x"', "token:abc", "AKIA" + "Z9" * 9, "deadbeef" * 5, "key q7Xk29ZpLm4Rt8Vw1NbY5c end", "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-0000-1111-2222"]
+    out += ["½ ² ③", "① Ⅷ", "²³ 4"]  # signs of numbers, no letters
     return out
 
 
@@ -300,6 +301,33 @@ def test_language(docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_table_by_counting(docs):
+    """Every n-gram's share of a language, halves added, from plain counts of the training texts."""
+    from namewright.llm import langid
+    from namewright.llm.grams import gram_hashes
+
+    langs, table = langid.fit(docs)
+    train = [r for r in docs.select("doc_id", "text", "lang").collect() if r["lang"] is not None and zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 4 != 2]
+    for i, lang in enumerate(langs):
+        counts = Counter()
+        for r in train:
+            if r["lang"] == lang:
+                for grams in gram_hashes(r["text"] or "", langid.SIZES, langid.BITS):
+                    counts.update(grams.tolist())
+        total = sum(counts.values()) + 0.5 * 2**langid.BITS
+        want = np.full(2**langid.BITS, 0.5)
+        want[list(counts)] += list(counts.values())
+        assert np.allclose(table[:, i], want / total, rtol=1e-6)
+
+
+def test_more_languages_than_workers_hold(docs, monkeypatch):
+    from namewright.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+
+
 def test_language_mixture():
     from namewright.llm.langid import proportions
 

@@ -1,10 +1,11 @@
 """Operator 12, cross-tokenizer alignment: where the tokens of two tokenizers meet.
 
-A run of documents from an Arrow batch is laid end to end. The ends of all tokens of both
-tokenizers are byte offsets into it and are counted once (bincount): an offset counted twice
-is an end of both and closes a group, an offset counted at all closes exactly one link,
-because the stretch before it lies in one token of each side. Running sums over the same
-offsets, read at the documents' bounds, give every document its numbers back. Runs hold a
+A run of documents from an Arrow batch is laid end to end. The ends of both
+tokenizers' tokens are byte offsets into it and are counted once each (bincount): an offset
+that both have closes a group, an offset that either has closes exactly one link, because
+the stretch before it lies in one token of each side. Running sums over the same offsets
+give tokens their groups and links their tokens; read at the documents' bounds they give
+every document its numbers back. Runs hold a
 few MB of text (or one longer document), so memory follows the run and not the batch.
 
 A document's links are kept as its distinct id pairs and their numbers. Pairs are counted
@@ -114,13 +115,16 @@ def per_document(offsets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def align(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, n_ids: int) -> dict[str, np.ndarray]:
     """Groups and links of documents laid end to end: ``sizes`` their bytes, ``a`` and ``b`` all their ids, ``len_*`` the ids' bytes."""
     bounds, ends_a, ends_b = np.cumsum(sizes), np.cumsum(len_a), np.cumsum(len_b)
-    counted = np.bincount(np.concatenate([ends_a, ends_b]), minlength=1)
-    ends = np.flatnonzero(counted)
-    cuts = ends[counted[ends] == 2]
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    size = int(bounds[-1]) + 1
+    in_a, in_b = (np.bincount(e, minlength=size).astype(np.uint8) for e in (ends_a, ends_b))
+    ends, both = np.flatnonzero(in_a | in_b), in_a & in_b
+    cuts, closed = np.flatnonzero(both), np.cumsum(both, dtype=np.int32)
+    group_a, group_b = closed[ends_a] - both[ends_a], closed[ends_b] - both[ends_b]
+    # How many tokens of the other side lie in the groups before, and in those up to, each group.
+    in_group_a, in_group_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    before_b, upto_a = np.cumsum(in_group_b) - in_group_b, np.cumsum(in_group_a)
     # All tokens in one row: group by group, A before B, each followed by the mark that separates it from the next.
-    at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-    at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + upto_a[group_b]
     merged, marks = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
     merged[at_a], merged[at_b] = a, b
     marks[at_a] = np.where(np.diff(group_a, append=-1) == 0, ord(","), ord("|"))
@@ -129,9 +133,10 @@ def align(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, len_a: np.ndarray, le
     spelled, stops = digits.of(merged), np.cumsum(digits.size[merged])
     spelled[stops - 1] = marks
     tokens = np.cumsum(per_document(ends_a, bounds) + per_document(ends_b, bounds))
+    first_a, first_b = (np.cumsum(x, dtype=np.int32) - x for x in (in_a, in_b))  # the token of either side that a stretch lies in
     return {
         "n_a": per_document(ends_a, bounds), "n_b": per_document(ends_b, bounds), "n_groups": per_document(cuts, bounds), "n_links": per_document(ends, bounds),
-        "link_doc": np.searchsorted(bounds, ends), "link_a": a[np.searchsorted(ends_a, ends)].astype(np.int64), "link_b": b[np.searchsorted(ends_b, ends)].astype(np.int64),
+        "link_doc": np.repeat(np.arange(len(sizes)), per_document(ends, bounds)), "link_a": a[first_a[ends]].astype(np.int64), "link_b": b[first_b[ends]].astype(np.int64),
         "spelled": spelled, "stops": stops[tokens - 1] if len(tokens) else stops,
     }
 
@@ -160,11 +165,10 @@ def linked(df: DataFrame, key: str, text: str, byte_path: str | None, piece_path
             if found:
                 a, b = (np.concatenate([x[i] for x in found]) for i in (1, 2))
                 got = align(np.array([x[0] for x in found]), a, b, spell_a.size[a], spell_b.size[b], n_ids)
-                pair = got["link_a"] * of_b + got["link_b"]
-                order = np.lexsort((pair, got["link_doc"]))
-                pair, doc = pair[order], got["link_doc"][order]
-                first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-                times, pair = np.diff(first, append=len(pair)).astype("<u4"), pair[first]
+                all_pairs = len(spell_a.size) * of_b
+                pair = np.sort(got["link_doc"] * all_pairs + got["link_a"] * of_b + got["link_b"])
+                first = np.flatnonzero(np.diff(pair, prepend=-1))
+                times, doc, pair = np.diff(first, append=len(pair)).astype("<u4"), pair // all_pairs, pair[first] % all_pairs
                 to = np.searchsorted(doc[first], np.arange(len(found)), "right")
                 spelled = got["spelled"].tobytes()
 

@@ -347,9 +347,15 @@ def consistent(names: list[str]) -> bool:
     return pairs and all(any(agree(n, f) for f in fullest) for n in names if len(n.split()) < most)
 
 
-def prefix_match(name: str, target: str) -> bool:
-    """whether a written name can be ``first_last``, by token prefixes in either order."""
+def prefix_match(name: str, target: str, readings: dict[str, str] | None = None) -> bool:
+    """whether a written name can be ``first_last``, by token prefixes in either order.
+
+    A name with CJK characters is read by ``readings``, other characters in it dropped, and
+    has to be the family name and the given name in full; one unread character fails it.
+    """
     first, last = plain(target.split("_")[0]).replace(" ", ""), plain(target.split("_")[-1])
+    if read := [c for c in name if "\u4e00" <= c <= "\u9fa5"]:
+        return "".join((readings or {}).get(c, "?") for c in read) == last.replace(" ", "") + first
     words = plain(name).split()
     if len(words) < 2:
         return False
@@ -407,6 +413,16 @@ def matches_prefix(name: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([prefix_match(x or "", y or "") for x, y in zip(name, target, strict=True)], dtype="bool")
 
 
+def matches_prefix_read(name: Column, target: Column, readings: dict[str, str]) -> Column:
+    """F21 over columns, CJK names by a reading table."""
+
+    @F.pandas_udf(T.BooleanType())
+    def match(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([prefix_match(a or "", b or "", readings) for a, b in zip(x, y, strict=True)], dtype="bool")
+
+    return match(name, target)
+
+
 @F.pandas_udf(T.IntegerType())
 def author_position(name: pd.Series, others: pd.Series) -> pd.Series:
     """F27 over columns: a name and an array of names."""

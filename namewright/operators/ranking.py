@@ -81,6 +81,33 @@ def balanced_folds(groups: DataFrame, size: str, cut: int, order: list, k: int)
     return number_large(groups.withColumn("stratum", stratum), ["stratum"], order, "rn_").withColumn("fold", ((F.col("rn_") - 1) % k).cast("int")).drop("rn_")
 
 
+def published_folds(groups: DataFrame, size: str, cut: int, order: list, k: int) -> DataFrame:
+    """Small groups (below ``cut``), then large ones, each in ``k`` runs of the order; the folds that hold one group more start where those of the stratum before ended."""
+    rows = number_large(groups.withColumn("stratum", F.when(F.col(size) < cut, 0).otherwise(1)), ["stratum"], order, "rn_")
+    n = groups.agg(F.count_if(F.col(size) < cut).alias("small"), F.count_if(~(F.col(size) < cut) | F.col(size).isNull()).alias("large"))
+    rows = rows.join(F.broadcast(n))  # one row
+    total, start = F.when(F.col("stratum") == 0, F.col("small")).otherwise(F.col("large")), F.when(F.col("stratum") == 0, 0).otherwise(F.col("small") % k)
+    each, more = F.floor(total / k), total % k
+    upto, fold = F.lit(0), F.lit(0)
+    for i in range(k - 1):
+        upto = upto + each + F.when((k + i - start) % k < more, 1).otherwise(0)
+        fold = fold + F.when(F.col("rn_") > upto, 1).otherwise(0)
+    return rows.withColumn("fold", fold.cast("int")).drop("rn_", "small", "large")
+
+
+def drawn_with_replacement(df: DataFrame, by: list[str], order: list, most: int, seed: int = 0) -> DataFrame:
+    """Each group's rows, or of more than ``most`` rows that many hashed draws, which may repeat; ``draw`` numbers them from 0.
+
+    Rows are numbered once; draws of a number meet them by it, so no group is listed.
+    """
+    placed = written(number_large(df, by, order, "place_"), "places")
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.col("n_"), F.lit(most)).cast("int") - 1)))
+    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    place = F.when(F.col("n_") <= most, F.col("draw") + 1).otherwise(F.expr("1").cast("bigint") + F.floor(unit * F.col("n_") / float(1 << 32)))
+    return draws.withColumn("place_", place.cast("bigint")).join(placed, [*by, "place_"]).drop("place_", "n_")
+
+
 def running_budget(df: DataFrame, by: list[str], order: list, size: str, budget: float) -> DataFrame:
     """Rows of each group while their running size stays within the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -121,6 +148,19 @@ def nil_features(df: DataFrame, by: list[str], score: str, tie: str, n: str | No
     return out.select(*by, F.col("s1").alias("best"), F.col("mean"), gap("mean").alias("gap_mean"), gap("s0").alias("gap_min"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of linearly interpolated quantiles; equal values are counted, and of the running counts over ranges of the order only the rows that hold a wanted position are kept, so no task holds all values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
+    placed = running(counted, [], ["v_"], {"upto_": F.col("n_")})
+    total = F.sum("n_").alias("total_")
+    rows = placed.join(F.broadcast(counted.agg(total)))  # one row
+    at = {name: F.lit(q) * (F.col("total_") - 1) for name, q in shares.items()}
+    holds = lambda p: (F.floor(p) >= F.col("upto_") - F.col("n_")) & (F.floor(p) < F.col("upto_"))
+    ends = [F.max(F.when(holds(F.ceil(p) if side else p), F.col("v_"))).alias(f"{name}_{side}") for name, p in at.items() for side in (0, 1)]
+    low = rows.agg(F.max("total_").alias("total_"), *ends)
+    return low.select(*[(F.col(f"{name}_0") + (p - F.floor(p)) * (F.col(f"{name}_1") - F.col(f"{name}_0"))).alias(name) for name, p in at.items()])
+
+
 def sample_per_group(df: DataFrame, by: list[str], key: list[str], k: int, seed: int = 0) -> DataFrame:
     """K rows of each group without replacement, by hash."""
     return top_k(df, by, [hashed_order(*by, *key, seed=seed), *key], k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from namewright.functions import similarity, text
 from namewright.functions.similarity import KERNELS
-from namewright.operators import terms, vectors
+from namewright.operators import ranking, terms, vectors
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, orgs, papers, split, sql, table, words
 
@@ -225,8 +225,10 @@ def a25_corpus_profile(spark, d):
 def a26_describe(spark, d):
     """Exact quantiles."""
     p = F.col("o_totalprice")
-    q = lambda x: F.round(F.percentile(p, x), 4).alias(f"q{int(100 * x)}")
-    return table(spark, d, "orders").agg(F.count(p).alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("std"), F.min(p).alias("least"), q(0.25), q(0.5), q(0.75), F.max(p).alias("most"))
+    orders = table(spark, d, "orders").select("o_totalprice")
+    rest = orders.agg(F.count(p).alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("std"), F.min(p).alias("least"), F.max(p).alias("most"))
+    quantiles = ranking.exact_quantiles(orders, "o_totalprice", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rest.join(F.broadcast(quantiles.select(*[F.round(c, 4).alias(c) for c in quantiles.columns])))  # one row each
 
 
 @query("a27_keyword_hits", "SELECT source, CAST(sum(CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS BIGINT)) AS BIGINT) AS hits, round(sum(CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS BIGINT)) / count(*), 6) AS per_doc FROM documents GROUP BY source")

@@ -59,6 +59,17 @@ def w16_balanced_folds(spark, d):
     return ranking.balanced_folds(groups, "n", 10, [ranking.hashed_order("block", seed=4), "block"], 5).select("block", "fold")
 
 
+STRATA = "SELECT *, row_number() OVER (PARTITION BY n < 20 ORDER BY md5('4|' || block), block) AS rn, count(*) OVER (PARTITION BY n < 20) AS size, CASE WHEN n < 20 THEN 0 ELSE (SELECT count(*) FROM g WHERE n < 20) % 5 END AS start FROM g"
+RUN_ENDS = "SELECT i, s.block, s.rn, sum(size // 5 + CASE WHEN (5 + i - start) % 5 < size % 5 THEN 1 ELSE 0 END) OVER (PARTITION BY s.block ORDER BY i) AS upto FROM s, range(5) r(i)"
+
+
+@query("w16_published_folds", sql("SELECT block, CAST(count(*) FILTER (rn > upto) AS INTEGER) AS fold FROM ends GROUP BY block", "papers", g="SELECT block, count(DISTINCT aid) AS n FROM papers GROUP BY block", s=STRATA, ends=RUN_ENDS))
+def w16_published_folds(spark, d):
+    """Cut at twenty persons, runs of a seeded order, the folds of one more rotating from stratum to stratum."""
+    groups = papers(spark, d).select("block", "aid").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.published_folds(groups, "n", 20, [ranking.hashed_order("block", seed=4), "block"], 5).select("block", "fold")
+
+
 @query("r01_split_names", sql("SELECT block, CAST('0x' || substr(md5('0|' || block), 1, 8) AS BIGINT) < 3435973836 AS is_train FROM (SELECT DISTINCT block FROM papers)", "papers"))
 def r01_split_names(spark, d):
     """About 80 % of the names, by hash, without a shuffle of their own."""
@@ -72,6 +83,16 @@ def r03_sample_papers(spark, d):
     return ranking.sample_per_group(papers(spark, d), ["aid"], ["pid"], 6, seed=2).select("pid", "aid")
 
 
+@query("r04_random_slots", sql("SELECT aid, CAST(i AS INTEGER) AS draw, pid FROM (SELECT aid, n, i, CASE WHEN n <= 20 THEN i + 1 ELSE 1 + CAST(floor(CAST('0x' || substr(md5('4|' || aid || '|' || i), 1, 8) AS BIGINT) * n / 4294967296.0) AS BIGINT) END AS place FROM (SELECT aid, count(*) AS n FROM placed GROUP BY aid) c, range(20) r(i) WHERE i < n) JOIN placed USING (aid, place)", "papers", placed="SELECT aid, pid, row_number() OVER (PARTITION BY aid ORDER BY odate, pid) AS place FROM papers WHERE aid IN (SELECT aid FROM papers GROUP BY aid HAVING count(*) >= 2) AND block IN (SELECT block FROM papers GROUP BY block HAVING count(DISTINCT aid) > 2)"))
+def r04_random_slots(spark, d):
+    """Slots of persons with two papers or more in names of more than two persons: all papers of up to twenty, else twenty draws with replacement."""
+    rows = papers(spark, d)
+    blocks = rows.select("block", "aid").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("block")
+    persons = rows.groupBy("aid").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("aid")
+    kept = rows.join(blocks, "block", "left_semi").join(persons, "aid", "left_semi").select("aid", "pid", "odate")
+    return ranking.drawn_with_replacement(kept, ["aid"], ["odate", "pid"], 20, seed=4).select("aid", "draw", "pid")
+
+
 @query("r06_balance", "SELECT doc_id, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY toxic ORDER BY md5('6|' || doc_id), doc_id) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))")
 def r06_balance(spark, d):
     """Every class as large as the smallest."""

@@ -302,3 +302,46 @@ def test_matching_names_equal_nested_loops(spark):
     pairs = [(x, y) for x in lists[0] for y in lists[1]]
     counted = {(r["l"], r["r"]): r["matched"] for r in matched_lists(spark.createDataFrame([*pairs, pairs[0]], "l int, r int"), *frames, "l", "r", "name").collect()}
     assert counted == {(x, y): sum(any(names.rule_number(m or "", n) for m in lists[0][x]) for n in {n for n in lists[1][y] if n}) for x, y in pairs}
+
+
+@pytest.mark.parametrize("name,target,match", [("李四", "si_li", True), ("李 四", "si_li", True), ("李四 (Li Si)", "si_li", True), ("四李", "si_li", False), ("李", "si_li", False), ("李四", "xiao-hua_li", False), ("李晓华", "xiao-hua_li", True), ("李五", "si_li", False), ("Li Si", "si_li", True)])
+def test_prefix_match_reads_characters(spark, name, target, match):
+    readings = {"李": "li", "四": "si", "晓": "xiao", "华": "hua"}
+    assert names.prefix_match(name, target, readings) == match
+    if name == "李四":
+        df = spark.createDataFrame([(name, target), (None, target), (name, None)], "a string, b string")
+        assert [r[0] for r in df.select(names.matches_prefix_read(F.col("a"), F.col("b"), readings)).collect()] == [match, False, False]
+
+
+@pytest.mark.parametrize("small,large,k", [(7, 9, 5), (10, 3, 5), (0, 6, 4), (13, 13, 5)])
+def test_published_folds(spark, small, large, k):
+    """Sizes and order of the folds from the rule as published."""
+    rows = [(f"s{i}", 3) for i in range(small)] + [(f"l{i}", 30) for i in range(large)]
+    got = {r["g"]: r["fold"] for r in ranking.published_folds(spark.createDataFrame(rows, "g string, n int").repartition(3), "n", 20, ["g"], k).collect()}
+    start, want = 0, {}
+    for stratum in (sorted(g for g, n in rows if n < 20), sorted(g for g, n in rows if n >= 20)):
+        at, each, more = 0, len(stratum) // k, len(stratum) % k
+        for i in range(k):
+            size = each + ((k + i - start) % k < more)
+            want.update({g: i for g in stratum[at : at + size]})
+            at += size
+        start = (start + more) % k
+    assert got == want
+
+
+def test_draws_with_replacement(spark):
+    rows = [("few", i) for i in range(5)] + [("many", i) for i in range(200)] + [("one", 0)]
+    got = ranking.drawn_with_replacement(spark.createDataFrame(rows, "g string, p int").repartition(3), ["g"], ["p"], 50, seed=3).collect()
+    of = {g: [r["p"] for r in sorted(got, key=lambda r: r["draw"]) if r["g"] == g] for g in ("few", "many", "one")}
+    assert of["few"] == [0, 1, 2, 3, 4] and of["one"] == [0]
+    assert len(of["many"]) == 50 > len(set(of["many"])) > 25 and max(of["many"]) > 150
+    assert {r["draw"] for r in got if r["g"] == "many"} == set(range(50))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 400])
+def test_exact_quantiles(spark, n):
+    rnd = random.Random(n)
+    values = [float(rnd.randrange(60)) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    got = ranking.exact_quantiles(df, "v", {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}).collect()
+    assert [tuple(r) for r in got] == [tuple(np.quantile(values, [0, 0.3, 0.5, 1])) if n else (None,) * 4] or np.allclose(got[0], np.quantile(values, [0, 0.3, 0.5, 1]))

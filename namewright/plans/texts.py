@@ -293,3 +293,12 @@ def f09_stem(spark, d):
 
     words = doc_tokens(spark, d).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return words.select(stems("w").alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+@query("f09_snowball")
+def f09_snowball(spark, d):
+    """lower case, no digits, contractions, punctuation and stop words, Snowball stems; words are counted first, so each is stemmed once, in Column rules throughout."""
+    from namewright.functions.snowball import with_stems, words_of
+
+    words = table(spark, d, "documents").select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return with_stems(words, "word").groupBy("stem").agg(F.sum("n").alias("n"))

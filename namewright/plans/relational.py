@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from namewright.functions import names, similarity
-from namewright.operators import blocking, namejoin, ranking
+from namewright.operators import blocking, namejoin, nearest, ranking
 from namewright.plans.registry import query
 from namewright.plans.views import coauthors, lines, orgs, papers, split, sql, table, words
 from namewright.sources.shared import written
@@ -123,7 +123,7 @@ def j04_nearest_name(spark, d):
     p = table(spark, d, "part")
     names_ = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).distinct()
     slots = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("slot")).distinct()
-    return blocking.nearest_names(slots, names_, similarity.letter_distance(F.col("slot"), F.col("name")), "slot", "name").select("slot", "name", "distance", "rank")
+    return nearest.nearest_names(slots, names_, "slot", "name")
 
 
 @query("j07_block_pairs", sql("SELECT x.block, x.pid AS a, y.pid AS b FROM split x JOIN split y ON x.block = y.block AND x.pid < y.pid WHERE x.is_new AND y.is_new", "papers", "split"))

@@ -250,15 +250,13 @@ def test_stack_learns_planted_signal(planted):
     assert len(got) == 600 and ranked_right(got, "final") > 0.95
 
 
-def test_nearest_names_refuse_unbounded_lists(spark):
-    from namewright.operators import blocking
+def test_nearest_names_take_one_or_two(spark):
+    from namewright.operators.nearest import nearest_names
 
     names_ = spark.createDataFrame([("abc",), ("abd",), ("xyz",)], "name string")
     slots = spark.createDataFrame([("abe",)], "slot string")
-    d = similarity.letter_distance(F.col("slot"), F.col("name"))
-    assert [(r["name"], r["rank"]) for r in blocking.nearest_names(slots, names_, d, "slot", "name").orderBy("rank").collect()] == [("abc", 1), ("abd", 2)]
-    with pytest.raises(ValueError):
-        blocking.nearest_names(slots, names_, d, "slot", "name", most=2)
+    assert [(r["name"], r["rank"]) for r in nearest_names(slots, names_, "slot", "name").orderBy("rank").collect()] == [("abc", 1), ("abd", 2)]
+    assert [(r["name"], r["rank"]) for r in nearest_names(slots, names_, "slot", "name", near=3).collect()] == [("abc", 1)]
 
 
 def odd_names(n):
@@ -345,3 +343,22 @@ def test_exact_quantiles(spark, n):
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
     got = ranking.exact_quantiles(df, "v", {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}).collect()
     assert [tuple(r) for r in got] == [tuple(np.quantile(values, [0, 0.3, 0.5, 1])) if n else (None,) * 4] or np.allclose(got[0], np.quantile(values, [0, 0.3, 0.5, 1]))
+
+
+@pytest.mark.parametrize("slots,known", [(60, 90), (5, 1), (4, 0), (30, 400)])
+def test_nearest_names_equal_all_comparisons(spark, slots, known):
+    from collections import Counter
+
+    from namewright.operators.nearest import nearest_names
+
+    rnd = random.Random(slots)
+    word = lambda letters, longest: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, longest)))
+    mine = {word("abcdef", 7) for _ in range(slots)} | {"zz" * 40, "ABC", "", "quite another name 9"}
+    theirs = {word("abcdefg", 8) for _ in range(known)}
+    got = sorted((r["s"], r["n"], r["distance"], r["rank"]) for r in nearest_names(spark.createDataFrame([(x,) for x in [*mine, None]], "s string"), spark.createDataFrame([(x,) for x in [*theirs, None]], "n string"), "s", "n").collect())
+    want = []
+    bag = lambda x: Counter(c for c in x.lower() if "a" <= c <= "z")
+    for s in mine:
+        best = sorted((sum(abs(bag(s)[c] - bag(n)[c]) for c in bag(s) | bag(n)), n) for n in theirs)[:2]
+        want += [(s, n, d, i + 1) for i, (d, n) in enumerate(best) if i == 0 or best[0][0] >= 2]
+    assert got == sorted(want)

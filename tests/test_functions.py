@@ -250,6 +250,25 @@ def test_stack_learns_planted_signal(planted):
     assert len(got) == 600 and ranked_right(got, "final") > 0.95
 
 
+def test_cells_learn_planted_signal(planted):
+    """Two kinds under a second level, one kind without, and both together; slots without a true candidate score lower."""
+    from namewright.operators import learned
+
+    train, test = planted
+    features = ["coauthors", "words", "gap"]
+    upper = learned.Cell(features, "label", "pid", "aid").fit(train)
+    plain = learned.Cell(features, "label", "pid", "aid", first=("logistic",), second=()).fit(train)
+    assert len(upper.models) == 3 and set(upper.models[0]) == {"gbt", "forest"} and len(upper.wide()) == 3 + 2 * 4 and not plain.upper
+    got = learned.of_cells([(upper, 2.0), (plain, 1.0)], test, "final").collect()
+    assert len(got) == 600 and ranked_right(got, "final") > 0.95
+    bare = upper.score(test.where("label = 0 or pid % 2 = 0"), "final").collect()
+    best = {}
+    for r in bare:
+        best[r["pid"]] = max(best.get(r["pid"], 0.0), r["final"])
+    nil, full = ([v for k, v in best.items() if k % 2 == odd] for odd in (1, 0))
+    assert sum(a < b for a in nil for b in full) > 0.9 * len(nil) * len(full)
+
+
 def test_nearest_names_take_one_or_two(spark):
     from namewright.operators.nearest import nearest_names
 

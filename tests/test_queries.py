@@ -101,7 +101,7 @@ def test_spectral_products(spark, data):
         assert len(nodes) <= 100 and np.allclose(have @ have.T, want @ want.T, atol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["m01_gbt", "m02_stack", "m03_mlp", "m04_logistic"])
+@pytest.mark.parametrize("name", ["m01_gbt", "m02_stack", "m02_cells", "m03_mlp", "m04_logistic"])
 def test_scorers_score_every_held_out_pair(spark, data, name):
     """The tables' persons are drawn at random, so quality is measured on a planted fixture (test_functions)."""
     got = entry.queries()[name](spark, data).collect()

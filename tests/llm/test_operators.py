@@ -286,6 +286,25 @@ def test_suffix_array():
         assert suffix_array(a).tolist() == sorted(range(len(a)), key=lambda i: a[i:].tolist())
 
 
+def test_toxicity_ratios_by_counting(spark):
+    """Log-count ratios of the n-grams that count, from plain counts of the rows that have them."""
+    from namewright.llm import toxicity
+    from namewright.llm.grams import gram_hashes
+
+    rnd = random.Random(2)
+    labelled = [(int(i % 3 == 0), " ".join(rnd.choice(WORDS[:4] if i % 3 == 0 and j % 2 else WORDS) for j in range(12))) for i in range(120)] + [(1, ""), (0, "x")]
+    grams, ratio = toxicity.ratios(spark.createDataFrame(labelled, "label int, text string").repartition(3), 41, 81)
+    pos, neg = Counter(), Counter()
+    for y, text in labelled:
+        (pos if y else neg).update({int(g) for part in gram_hashes(text, toxicity.SIZES, toxicity.BITS) for g in part})
+    want = {}
+    for g in pos.keys() | neg.keys():
+        r = np.log((pos[g] + 0.5) / 42.0) - np.log((neg[g] + 0.5) / 82.0)
+        if pos[g] + neg[g] >= toxicity.FEWEST and abs(r) >= toxicity.CLEAR * np.sqrt(1 / (pos[g] + 0.5) + 1 / (neg[g] + 0.5)):
+            want[g] = r
+    assert dict(zip(grams.tolist(), ratio.round(9).tolist(), strict=True)) == {g: round(float(r), 9) for g, r in want.items()} and len(want) > 5
+
+
 def test_language(docs, none):
     from namewright.llm import langid
 

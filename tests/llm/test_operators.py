@@ -292,7 +292,7 @@ def test_toxicity_ratios_by_counting(spark):
     from namewright.llm.grams import gram_hashes
 
     rnd = random.Random(2)
-    labelled = [(int(i % 3 == 0), " ".join(rnd.choice(WORDS[:4] if i % 3 == 0 and j % 2 else WORDS) for j in range(12))) for i in range(120)] + [(1, ""), (0, "x")]
+    labelled = [(int(i % 3 == 0), " ".join(rnd.choice(WORDS[-3:] if i % 3 == 0 and j % 2 else WORDS[:10]) for j in range(12))) for i in range(120)] + [(1, ""), (0, "x")]
     grams, ratio = toxicity.ratios(spark.createDataFrame(labelled, "label int, text string").repartition(3), 41, 81)
     pos, neg = Counter(), Counter()
     for y, text in labelled:

@@ -110,9 +110,10 @@ OTHER_NAMES = {
     "ulrich": "ulrike", "naoto": "naoki", "naomi": "naoki", "junko": "junichi", "isaku": "isao",
 }
 # Words that are syllables but common in other names, and count only beside a certain one.
-DOUBTFUL = (
-    "an ban bar ben bo bu ch dam dan de dean den der di dia du for gu guen ian jan jean jim jr juan kim ku lang le long lou luc ng ohm per re rui sa shaw ti tim to van yip yu"
-).split()
+DOUBTFUL = [
+    "an", "ban", "bar", "ben", "bo", "bu", "ch", "dam", "dan", "de", "dean", "den", "der", "di", "dia", "du", "for", "gu", "guen", "ian", "jan", "jean", "jim", "jr",
+    "juan", "kim", "ku", "lang", "le", "long", "lou", "luc", "ng", "ohm", "per", "re", "rui", "sa", "shaw", "ti", "tim", "to", "van", "yip", "yu",
+]
 #: The initials that each final of a romanized syllable goes with; "-" is none.
 INITIALS_OF = {
     "a": "- b p m f d t n l g k h zh ch sh z c s y w", "o": "- b p m f w", "e": "- m d t n l g k h zh ch sh r z c s y", "er": "-",

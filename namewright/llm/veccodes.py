@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from namewright.llm.common import prepare, written
 
 LEAF = 16
+#: Components of the vectors that are coded at once.
+GATHERED = 1 << 19
 LIMIT, TOP = 1 << 62, (1 << 63) - 1
 #: Below it, sums of squares and products of two components are exact in doubles for 2^12 components.
 EXACT = 1 << 19
@@ -130,6 +132,19 @@ class Book:
         return *self.trees[small].nearest(x), x
 
 
+def gathered(batches, width: int):
+    """Batches put together to some ``GATHERED`` components: a tree is walked faster by many queries at once."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows * width >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def kept(df: DataFrame, key: str, vector: str, label: str | None) -> DataFrame:
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
     of_label: Column = F.col(label) if label else F.lit(None).cast("string")
@@ -147,8 +162,8 @@ def train(rows: DataFrame, width: int, parts: int, entries: int, rounds: int, sc
         def op(batches, books=books):
             tables, n = [Book(b) for b in books], np.zeros((parts, len(books[0])), np.int64)
             total = np.zeros((parts, len(books[0]), w), np.int64)
-            for batch in batches:
-                x = integers(batch.column(0), width, scale)
+            for batch in gathered(batches, width):
+                x = integers(batch.column(0).combine_chunks(), width, scale)
                 for p, table in enumerate(tables):
                     index, _, own = table.nearest(x[:, p * w : (p + 1) * w])
                     if own.dtype == object:
@@ -174,12 +189,12 @@ def encode(rows: DataFrame, books: list[list[list[int]]], width: int, scale: int
 
     def op(batches):
         tables = [Book(b) for b in books]
-        for batch in batches:
-            x = integers(batch.column(1), width, scale)
+        for batch in gathered(batches, width):
+            x = integers(batch.column(1).combine_chunks(), width, scale)
             found = [t.nearest(x[:, p * w : (p + 1) * w]) for p, t in enumerate(tables)]
             codes = np.stack([f[0] for f in found], 1).astype(np.uint8)
             errors = [min(sum(int(f[1][i]) for f in found), TOP) for i in range(len(x))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.int64())], ["key", "label", "code", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).combine_chunks(), batch.column(2).combine_chunks(), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.int64())], ["key", "label", "code", "error"])
 
     kinds = dict(rows.dtypes)
     return rows.select("key", "vector", "label").mapInArrow(op, f"key {kinds['key']}, label {kinds['label']}, code binary, error bigint")

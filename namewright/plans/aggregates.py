@@ -165,9 +165,6 @@ def a19_coauthor4(spark, d):
     return out.select("pid", "matched", F.round(F.col("matched") / (F.col("total") + 1e-8), 6).alias("of_paper"), "counted", F.round(F.col("counted") / (F.col("all_") + 1e-8), 6).alias("of_author"))
 
 
-PARTS = "SELECT p_brand, p_partkey, p_name FROM part WHERE p_size <= 10"
-
-
 @query("a20_attribute8", "SELECT a, round(max(j), 6) AS max_jaro, round(avg(j), 6) AS mean_jaro, round(max(s), 6) AS max_jaccard, round(avg(s), 6) AS mean_jaccard, CAST(sum(c) AS BIGINT) AS common, round(sum(c) / (2.0 * count(*)), 6) AS common_ratio FROM (SELECT x.p_partkey AS a, jaro_similarity(x.p_name, y.p_name) AS j, len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) AS c, len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) / CAST(len(list_distinct(list_concat(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))) AS DOUBLE) AS s FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey) GROUP BY a")
 def a20_attribute8(spark, d):
     """Best and mean Jaro and Jaccard of an attribute against the others of its block, and common words.

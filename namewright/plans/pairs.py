@@ -280,20 +280,49 @@ def relations(spark, d):
     return co.unionByName(org).unionByName(venue)
 
 
-@query("g01_walk")
+def walk_sql(needs: list[str], edges: str, starts: str, steps: int, each: int, relations: tuple[str, ...], extra: tuple[tuple[str, float], ...] = (), back: float | None = None) -> str:
+    """The walks of ``graph.walks`` as recursive SQL: the same md5 draws, a hop a round."""
+    hops = [(step, rel, chance) for step in range(steps) for rel, chance in ((relations[step % len(relations)], 1.0), *extra)]
+    draw = lambda tag: f"CAST('0x' || substr(md5('0:' || hop_step || ':' || hop_rel || ':{tag}|' || walk || '|' || start || '|' || pos), 1, 8) AS BIGINT) / 4294967296.0"
+    parts = dict(
+        edges=edges,
+        sized="SELECT rel, token, pid, papers, row_number() OVER (PARTITION BY rel, pid ORDER BY token) - 1 AS out_at, count(*) OVER (PARTITION BY rel, pid) AS degree FROM edges JOIN (SELECT rel, token, count(*) AS papers FROM edges GROUP BY ALL HAVING count(*) > 1) USING (rel, token)",
+        placed="SELECT rel, token, pid AS dst, row_number() OVER (PARTITION BY rel, token ORDER BY substr(md5(CAST(pid AS VARCHAR)), 1, 2), pid) - 1 AS in_at FROM sized",
+        hops="SELECT * FROM (VALUES " + ", ".join(f"({i}, {step}, '{rel}', {chance})" for i, (step, rel, chance) in enumerate(hops)) + ") h(hop, hop_step, hop_rel, chance)",
+    )
+    drawn = f"SELECT w.*, {draw('token')} AS u, {draw('paper')} AS u1, {draw('again')} AS u2, {draw('back')} AS u3, hop_rel, {draw('gate')} < chance AS moves FROM walk w JOIN hops USING (hop)"
+    token = "SELECT w.*, s.token, s.papers, floor(u1 * s.papers) AS p1, floor(u2 * s.papers) AS p2 FROM (" + drawn + ") w LEFT JOIN sized s ON moves AND s.rel = hop_rel AND s.pid = pos AND s.out_at = floor(u * s.degree)"
+    met = "SELECT w.*, " + ", ".join(f"CASE WHEN m{i}.dst <> pos THEN m{i}.dst END AS t{i}" for i in (1, 2, 3)) + f" FROM ({token}) w " + " ".join(f"LEFT JOIN placed m{i} ON m{i}.rel = hop_rel AND m{i}.token = w.token AND m{i}.in_at = {at}" for i, at in ((1, "p1"), (2, "p2"), (3, "(p1 + 1) % papers")))
+    if back:
+        chosen = f"CASE WHEN t1 IS NOT NULL AND NOT (t1 IS NOT DISTINCT FROM came AND u3 >= {1 / back}) THEN t1 ELSE coalesce(least(CASE WHEN p2 <> p1 THEN t2 END, t3), t1) END"
+    else:
+        chosen = "coalesce(t1, t2, t3)"
+    first = f"SELECT 0 AS hop, CAST(i AS INTEGER) AS walk, pid AS start, pid AS pos, CAST(NULL AS BIGINT) AS came, [pid] AS path FROM ({starts}) s, range(1, {each + 1}) r(i)"
+    after = f"SELECT hop + 1, walk, start, coalesce(dst, pos), CASE WHEN dst IS NULL THEN came ELSE pos END, CASE WHEN dst IS NULL THEN path ELSE list_append(path, dst) END FROM (SELECT *, {chosen} AS dst FROM ({met}))"
+    text = sql(f"SELECT walk, start, path FROM walk WHERE hop = {len(hops)}", *needs, **parts, walk=f"{first} UNION ALL {after}").replace("WITH ", "WITH RECURSIVE ", 1)
+    for name in ("sized", "placed"):
+        text = text.replace(f", {name} AS (", f", {name} AS MATERIALIZED (", 1)
+    return text
+
+
+RELATIONS = "SELECT 'author' AS rel, pid, author AS token FROM coauthors UNION ALL SELECT DISTINCT 'org', pid, org FROM orgs UNION ALL SELECT 'venue', pid, venue FROM papers"
+WALK_NEEDS = ["papers", "coauthors", "orgs"]
+
+
+@query("g01_walk", walk_sql(WALK_NEEDS, RELATIONS, "SELECT pid FROM papers WHERE venue IS NOT NULL", 20, 5, ("author", "org")))
 def g01_walk(spark, d):
     """Five walks of twenty hops, paper - author - paper - organisation, from every paper with a venue; hash-seeded, tested step by step."""
     return graph.walks(relations(spark, d), papers(spark, d).where("venue is not null").select("pid"), steps=20, walks_each=5)
 
 
-@query("g02_walk_extra")
+@query("g02_walk_extra", walk_sql([*WALK_NEEDS, "words"], RELATIONS + " UNION ALL SELECT 'word', pid, word FROM words", "SELECT pid FROM papers", 10, 1, ("author", "org"), (("venue", 0.1), ("word", 0.1))))
 def g02_walk_extra(spark, d):
     """With a tenth of further hops over the venue, and a tenth over a word; ten hops from every paper."""
     more = words(spark, d).select(F.lit("word").alias("rel"), "pid", F.col("word").alias("token"))
     return graph.walks(relations(spark, d).unionByName(more), papers(spark, d).select("pid"), steps=10, walks_each=1, extra={"venue": 0.1, "word": 0.1})
 
 
-@query("g03_biased_walk")
+@query("g03_biased_walk", walk_sql(WALK_NEEDS, RELATIONS, "SELECT pid FROM papers", 10, 1, ("author",), back=4.0))
 def g03_biased_walk(spark, d):
     """Ten hops from every paper; a return to the paper before is kept with chance 1 / 4 (the in-out parameter is 1, as in the blueprint)."""
     return graph.walks(relations(spark, d), papers(spark, d).select("pid"), steps=10, walks_each=1, relations=["author"], back=4.0)

@@ -65,14 +65,40 @@ def hashed_order(*cols, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def number_hashed(df: DataFrame, by: list[str], key: list[str], seed: int = 0, name: str = "rank") -> DataFrame:
+    """Row numbers within groups of any size in the order of ``hashed_order(*key)``, then ``key``; nulls are a group.
+
+    Rows are counted and numbered within 4,096 slices of the hash, so no task holds a group
+    and no range of the order has to be found first.
+    """
+    sliced = df.withColumn("order_", hashed_order(*key, seed=seed)).withColumn("slice_", F.substring("order_", 1, 3))
+    counts = sliced.groupBy(*by, "slice_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*by).orderBy("slice_")) - F.col("n_")
+    starts = counts.select(*[F.col(c).alias(f"of_{c}_") for c in (*by, "slice_")], before.alias("before_"))
+    same = F.col("slice_") == F.col("of_slice__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}_"))
+    rows = numbered(sliced, [*by, "slice_"], ["order_", *key], "in_slice_").join(starts, same)
+    return rows.select(*df.columns, (F.col("in_slice_") + F.col("before_")).alias(name))
+
+
+def hashed_folds(df: DataFrame, by: list[str], key: list[str], k: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """``equal_folds`` of the hashed order of ``key``, without a sort of all rows."""
+    return folds_of_places(number_hashed(df, by, key, seed, "at_"), df, by, k, name)
+
+
 def equal_folds(df: DataFrame, by: list[str], order: list, k: int, name: str = "fold") -> DataFrame:
     """K runs of the order of equal size; the first ``n mod k`` hold one row more. Groups may be of any size."""
+    return folds_of_places(number_large(df, by, order, "at_"), df, by, k, name)
+
+
+def folds_of_places(placed: DataFrame, df: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_")).select(*[F.col(c).alias(f"of_{c}_") for c in by], F.expr(f"n_ div {k}").alias("q_"), F.expr(f"n_ % {k}").alias("r_"))
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"of_{c}_"))
     fold = F.expr("cast(if(at_ <= r_ * (q_ + 1), (at_ - 1) div (q_ + 1), r_ + (at_ - 1 - r_ * (q_ + 1)) div q_) as int)")
-    return number_large(df, by, order, "at_").join(sizes, same).withColumn(name, fold).select(*df.columns, name)
+    return placed.join(sizes, same).withColumn(name, fold).select(*df.columns, name)
 
 
 def balanced_folds(groups: DataFrame, size: str, cut: int, order: list, k: int) -> DataFrame:
@@ -108,6 +134,38 @@ def drawn_with_replacement(df: DataFrame, by: list[str], order: list, most: int,
     return draws.withColumn("place_", place.cast("bigint")).join(placed, [*by, "place_"]).drop("place_", "n_")
 
 
+def drawn_positions(n: Column, k: int, *key: Column | str, seed: int = 0) -> Column:
+    """Up to ``k`` distinct positions of 1 to ``n``, each set equally likely (all of them if ``n`` is at most ``k``): a draw each, and where its position is taken already the largest allowed one instead."""
+    tags = [c if isinstance(c, Column) else F.col(c).cast("string") for c in key]
+    low = F.greatest(n - k, F.lit(0)).cast("bigint")
+
+    def step(have: Column, i: Column) -> Column:
+        unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *tags, i.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        largest = low + i
+        draw = F.least(F.floor(unit * largest).cast("bigint") + 1, largest)
+        return F.concat(have, F.array(F.when(F.array_contains(have, draw), largest).otherwise(draw)))
+
+    rounds = F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(k)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(rounds, F.array().cast("array<bigint>"), step)
+
+
+def drawn_others(slots: DataFrame, members: DataFrame, by: str, slot: str, member: str, own: str, k: int, seed: int = 0) -> DataFrame:
+    """For each slot ``k`` members of its group other than its own, without replacement, as (slot, member).
+
+    ``slots`` is (slot, by, own), ``members`` distinct (by, member). Members are numbered
+    in a hashed order once; a slot draws numbers, skipping its own, and meets them by an
+    equi-join, so slots never meet all members. Groups may be of any size; a slot whose
+    group is unknown, null or has nobody else gives no row.
+    """
+    placed = written(number_hashed(members.where(F.col(by).isNotNull() & F.col(member).isNotNull()), [by], [member], seed, "place_"), "places")
+    sizes = placed.groupBy(by).agg(F.count(F.lit(1)).alias("n_"))
+    mine = placed.select(by, F.col(member).alias(own), F.col("place_").alias("own_"))
+    known = slots.select(slot, by, own).join(sizes, by).join(mine, [by, own], "left")
+    draws = drawn_positions(F.col("n_") - F.col("own_").isNotNull().cast("int"), k, slot, seed=seed)
+    rows = known.withColumn("place_", F.explode(draws)).withColumn("place_", F.col("place_") + (F.col("place_") >= F.coalesce("own_", F.col("n_") + 1)).cast("int"))
+    return rows.select(slot, by, "place_").join(placed, [by, "place_"]).select(slot, member)
+
+
 def running_budget(df: DataFrame, by: list[str], order: list, size: str, budget: float) -> DataFrame:
     """Rows of each group while their running size stays within the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -249,6 +249,31 @@ def r02_negatives(spark, d):
     return ranking.sample_per_group(others, ["pid"], ["aid"], 9, seed=1).select("pid", "aid")
 
 
+def floyd(k: int, seed: int, rows: str) -> str:
+    """SQL of ``ranking.drawn_positions`` over rows of (pid, others): nested draws, a list ``have`` of positions."""
+    text = f"SELECT *, CAST([] AS BIGINT[]) AS have FROM ({rows})"
+    for i in range(1, k + 1):
+        unit = f"CAST('0x' || substr(md5('{seed}|' || pid || '|{i}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+        drawn = f"SELECT *, greatest(others - {k}, 0) + {i} AS largest, least(CAST(floor({unit} * (greatest(others - {k}, 0) + {i})) AS BIGINT) + 1, greatest(others - {k}, 0) + {i}) AS draw FROM ({text})"
+        text = f"SELECT * EXCLUDE (largest, draw, have), CASE WHEN {i} > others THEN have WHEN list_contains(have, draw) THEN list_append(have, largest) ELSE list_append(have, draw) END AS have FROM ({drawn})"
+    return text
+
+
+DRAWN = dict(
+    persons="SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5('8|' || aid), aid) AS place FROM (SELECT DISTINCT block, aid FROM split WHERE NOT is_new)",
+    sizes="SELECT block, count(*) AS n FROM persons GROUP BY block",
+    known="SELECT s.pid, s.block, n, p.place AS own, n - CASE WHEN p.place IS NULL THEN 0 ELSE 1 END AS others FROM split s JOIN sizes USING (block) LEFT JOIN persons p ON p.block = s.block AND p.aid = s.aid WHERE s.is_new",
+)
+
+
+@query("r02_drawn_negatives", sql("SELECT d.pid, p.aid FROM drawn d JOIN persons p ON p.block = d.block AND p.place = d.at + CASE WHEN d.at >= coalesce(d.own, n + 1) THEN 1 ELSE 0 END", "papers", "split", **DRAWN, drawn=f"SELECT *, unnest(have) AS at FROM ({floyd(9, 8, 'SELECT * FROM known')})"))
+def r02_drawn_negatives(spark, d):
+    """Nine other persons of the block per slot, drawn by number; slots never meet all persons."""
+    parts = split(spark, d)
+    members = parts.where("not is_new").select("block", F.col("aid").alias("other")).distinct()
+    return ranking.drawn_others(parts.where("is_new").select("pid", "block", "aid"), members, "block", "pid", "other", "aid", 9, seed=8).select("pid", F.col("other").alias("aid"))
+
+
 NIL = "CAST('0x' || substr(md5('5|' || f.pid), 1, 8) AS BIGINT) < 858993459"
 
 

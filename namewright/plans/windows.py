@@ -49,7 +49,7 @@ def w14_adjacent_dedup(spark, d):
 @query("w15_folds", sql("SELECT pid, block, CAST(ntile(5) OVER (PARTITION BY block ORDER BY md5('3|' || pid), pid) - 1 AS INTEGER) AS fold FROM papers", "papers"))
 def w15_folds(spark, d):
     """Equal chunks of a seeded order."""
-    return ranking.equal_folds(papers(spark, d), ["block"], [ranking.hashed_order("pid", seed=3), "pid"], 5).select("pid", "block", "fold")
+    return ranking.hashed_folds(papers(spark, d), ["block"], ["pid"], 5, seed=3).select("pid", "block", "fold")
 
 
 @query("w16_balanced_folds", sql("SELECT block, CAST((row_number() OVER (PARTITION BY n < 10 ORDER BY md5('4|' || block), block) - 1) % 5 AS INTEGER) AS fold FROM (SELECT block, count(DISTINCT aid) AS n FROM papers GROUP BY block)", "papers"))

@@ -381,3 +381,41 @@ def test_nearest_names_equal_all_comparisons(spark, slots, known):
         best = sorted((sum(abs(bag(s)[c] - bag(n)[c]) for c in bag(s) | bag(n)), n) for n in theirs)[:2]
         want += [(s, n, d, i + 1) for i, (d, n) in enumerate(best) if i == 0 or best[0][0] >= 2]
     assert got == sorted(want)
+
+
+def test_drawn_others(spark):
+    """Distinct members of the own group, never the own one; all of them where few; no row for unknown or null groups."""
+    from namewright.operators.ranking import drawn_others
+
+    members = [("big", i) for i in range(40)] + [("few", i) for i in (100, 101, 102)] + [("one", 7), (None, 8), ("big", None)]
+    slots = [(s, "big", s % 50) for s in range(400)] + [(1000, "few", 101), (1001, "few", 5), (1002, "one", 7), (1003, "gone", 1), (1004, None, 8), (1005, "big", None)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {}
+    for r in drawn_others(made(slots, "slot long, g string, own long"), made(members, "g string, m long"), "g", "slot", "m", "own", 9).collect():
+        got.setdefault(r["slot"], []).append(r["m"])
+    for slot, group, own in slots[:400]:
+        assert len(got[slot]) == len(set(got[slot])) == 9 and own not in got[slot] and set(got[slot]) <= set(range(40))
+    assert sorted(got[1000]) == [100, 102] and sorted(got[1001]) == [100, 101, 102] and len(set(got[1005])) == 9
+    assert not {1002, 1003, 1004} & got.keys()
+    times = [sum(m in v for k, v in got.items() if k < 400) for m in range(40)]
+    assert min(times) > 45 and max(times) < 140  # 90 expected each
+    empty = drawn_others(made([], "slot long, g string, own long"), made([], "g string, m long"), "g", "slot", "m", "own", 9)
+    assert empty.count() == 0
+
+
+def test_hashed_numbers_and_folds(spark):
+    """Numbers 1 to n of every group, a null one too, in the order of the hash; repeated keys get a number each."""
+    import hashlib
+
+    from namewright.operators.ranking import equal_folds, hashed_folds, hashed_order, number_hashed
+
+    rows = [("a", i) for i in range(300)] + [(None, i) for i in range(7)] + [("b", 1), ("b", 1)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = number_hashed(df, ["g"], ["k"], seed=2).collect()
+    for group in ("a", "b", None):
+        mine = sorted((r["rank"], r["k"]) for r in got if r["g"] == group)
+        keys = [k for g, k in rows if g == group]
+        assert [k for _, k in mine] == sorted(keys, key=lambda k: hashlib.md5(f"2|{k}".encode()).hexdigest())
+        assert [n for n, _ in mine] == list(range(1, len(keys) + 1))
+    one, two = hashed_folds(df, ["g"], ["k"], 5, seed=2), equal_folds(df, ["g"], [hashed_order("k", seed=2), "k"], 5)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))

@@ -1,25 +1,22 @@
 """A light English suffix stemmer."""
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ENDINGS = (("sses", "ss"), ("ies", "y"), ("ational", "ate"), ("ization", "ize"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("es", "e"), ("s", ""))
 
 
-def stem(word: str | None) -> str | None:
-    """The word without its first fitting ending, if a stem of three letters with a vowel is left."""
-    if word is None:
-        return None
+def stem(word: Column) -> Column:
+    """The word without its first fitting ending, if a stem of three letters with a vowel is left; of a doubled last letter before -ing and -ed, but l, s and z, one goes."""
+    out = F
     for end, put in ENDINGS:
-        if word.endswith(end) and not word.endswith("ss" if end == "s" else "\0"):
-            left = word[: len(word) - len(end)]
-            if len(left) >= 3 and set(left) & set("aeiouy"):
-                return left[:-1] if put == "" and end in ("ing", "ed") and len(left) > 3 and left[-1] == left[-2] and left[-1] not in "lsz" else left + put
-    return word
-
-
-@F.pandas_udf(T.StringType())
-def stems(words: pd.Series) -> pd.Series:
-    """The stems of a column; apply it to distinct words."""
-    return words.map(stem)
+        left = F.left(word, F.length(word) - len(end))
+        fits = word.endswith(end) & (F.length(left) >= 3) & left.rlike("[aeiouy]")
+        if end == "s":
+            fits &= ~word.endswith("ss")
+        made = F.concat(left, F.lit(put))
+        if end in ("ing", "ed"):
+            doubled = (F.length(left) > 3) & left.rlike(r"([^lsz])\1$")
+            made = F.when(doubled, F.left(left, F.length(left) - 1)).otherwise(left)
+        out = out.when(fits, made)
+    return out.otherwise(word)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from namewright.functions import names, similarity, text
-from namewright.plans.aggregates import TOKENS
+from namewright.plans.aggregates import DOC_TOKENS, TOKENS, doc_tokens
 from namewright.plans.registry import query
 from namewright.plans.views import sql, table
 
@@ -135,6 +135,14 @@ def f26_consistent_names(spark, d):
     return rows.select("name", names.one_person(F.array("name", turned)).alias("reversed"), names.one_person(F.array("name", short)).alias("initial"), names.one_person(F.array("name", F.lit("qqq zzz"))).alias("other"))
 
 
+@query("f26_abbreviated_names", sql("SELECT name, short, substr(name, 1, 1) = substr(short, 1, 1) AS one_person FROM n JOIN (SELECT DISTINCT substr(name, 1, 1) || ' ' || last AS short, last FROM n) s USING (last)", n="SELECT DISTINCT p_name AS name, string_split(p_name, ' ')[-1] AS last FROM part"))
+def f26_abbreviated_names(spark, d):
+    """each distinct name with every abbreviated name of its last word; one person's if the initial is that of the first word."""
+    rows = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("last", F.element_at(F.split("name", " "), -1))
+    short = rows.select(F.concat_ws(" ", F.substring("name", 1, 1), "last").alias("short"), "last").distinct()
+    return rows.join(short, "last").select("name", "short", names.one_person(F.array("name", "short")).alias("one_person"))
+
+
 @query("f28_token_sets", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT string_split(p_name, ' ')[2] || ', ' || string_split(p_name, ' ')[1] AS p_name FROM part) b ON list_sort(string_split(a.p_name, ' ')) = list_sort(string_split(replace(b.p_name, ',', ''), ' '))")
 def f28_token_sets(spark, d):
     """names and names written last name first meet by their set of tokens."""
@@ -285,14 +293,28 @@ def f25_name_rules(spark, d):
     return pairs.select("a", "b", names.name_rule(a, b).alias("rule"), names.author_position(a, F.array(b, F.reverse(b))).alias("position"), names.matches_prefix(a, F.concat_ws("_", F.split_part(b, F.lit(" "), F.lit(1)), F.split_part(b, F.lit(" "), F.lit(2)))).alias("prefix"), names.chinese_name(a).alias("chinese"))
 
 
-@query("f09_stem")
+def stem_sql(word: str) -> str:
+    """SQL of ``stem.stem``; the last letters are compared one by one."""
+    from namewright.functions.stem import ENDINGS
+
+    cases = []
+    for end, put in ENDINGS:
+        left = f"substr({word}, 1, length({word}) - {len(end)})"
+        fits = f"suffix({word}, '{end}') AND length({word}) >= {len(end) + 3} AND regexp_matches({left}, '[aeiouy]')" + (f" AND NOT suffix({word}, 'ss')" if end == "s" else "")
+        if end in ("ing", "ed"):
+            last = f"substr({word}, length({word}) - {len(end)}, 1)"
+            cases.append(f"WHEN {fits} AND length({word}) > {len(end) + 3} AND {last} = substr({word}, length({word}) - {len(end) + 1}, 1) AND {last} NOT IN ('l', 's', 'z') THEN substr({word}, 1, length({word}) - {len(end) + 1})")
+        cases.append(f"WHEN {fits} THEN {left} || '{put}'")
+    return f"CASE {' '.join(cases)} ELSE {word} END"
+
+
+@query("f09_stem", sql(f"SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {stem_sql('w')} AS stem, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(tokens) AS w FROM t) GROUP BY w)) GROUP BY stem", t=DOC_TOKENS))
 def f09_stem(spark, d):
-    """tokenizer pipeline with a light suffix stemmer, a word once; rows only, no stemmer in SQL."""
-    from namewright.functions.stem import stems
-    from namewright.plans.aggregates import doc_tokens
+    """tokenizer pipeline with a light suffix stemmer, a word once."""
+    from namewright.functions.stem import stem
 
     words = doc_tokens(spark, d).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return words.select(stems("w").alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+    return words.select(stem(F.col("w")).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @query("f09_snowball")

@@ -19,11 +19,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from namewright.llm.common import documents, prepare, shared_dir, text_of, written
@@ -160,10 +159,21 @@ def write_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", *, to:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     manifest = written(made.mapInArrow(op, "shard bigint, place bigint, name string, n_tokens bigint"), "manifest")
-    shards = sorted((r["shard"], r["place"], r["name"], r["n_tokens"]) for r in manifest.collect())  # a row per shard: one for some 10^7 ids
-    starts = [0, *accumulate(s[3] for s in shards)]
-    rows = [(i, s[2], s[3], at) for i, (s, at) in enumerate(zip(shards, starts, strict=False))]
-    return to, spark.createDataFrame(rows, "shard bigint, name string, n_tokens bigint, start bigint")
+    return to, placed(manifest)
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """Numbers the shards of all tasks and gives each its start: (shard, name, n_tokens, start).
+
+    Sums run within each task's shards and over the tasks' totals, a row for each range of
+    keys; no list of shards is collected.
+    """
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = manifest.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("of_task"))
+    tasks = tasks.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shards_before"), F.coalesce(F.sum("of_task").over(before), F.lit(0)).alias("ids_before"))
+    rows = manifest.withColumn("ids_within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(tasks, "shard")
+    return rows.select((F.col("shards_before") + F.col("place")).alias("shard"), "name", "n_tokens", (F.col("ids_before") + F.col("ids_within")).alias("start"))
 
 
 def read_tokens(uri: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -101,7 +101,7 @@ def s16_name_pivot(spark, d):
     """Persons and papers of each name's map."""
     nested = files.by_name(papers(spark, d), "block", "aid", "pid")
     sizes = F.aggregate(F.map_values("persons"), F.lit(0), lambda s, x: s + F.size(x))
-    return nested.select("block", F.size("persons").cast("bigint").alias("persons"), sizes.cast("bigint").alias("papers"))
+    return nested.select("block", F.size("persons").alias("persons"), sizes.alias("papers")).groupBy("block").agg(F.sum("persons").alias("persons"), F.sum("papers").alias("papers"))
 
 
 @query("s17_packed_key", sql("SELECT pid, CAST(pid % 7 AS INTEGER) AS aidx FROM papers", "papers"))

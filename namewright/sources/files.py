@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewright.sources.shared import written
+
 PAPER = "pid string, title string, abstract string, keywords array<string>, authors array<struct<name:string,org:string>>, venue string, year string"
 
 
@@ -103,10 +105,19 @@ def flattened(df: DataFrame, name: str, nested: str) -> DataFrame:
     return df.select(name, F.explode(nested).alias("aid", "pids")).select(name, "aid", F.explode("pids").alias("pid"))
 
 
-def by_name(df: DataFrame, name: str, aid: str, pid: str) -> DataFrame:
-    """Rows as {name: {aid: [pid]}}, two grouped collects."""
-    persons = df.groupBy(name, aid).agg(F.sort_array(F.collect_list(pid)).alias("pids"))
-    return persons.groupBy(name).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(aid, "pids")))).alias("persons"))
+def by_name(df: DataFrame, name: str, aid: str, pid: str, per: int = 100_000) -> DataFrame:
+    """Rows as {name: {aid: [pid]}}: (name, piece, persons).
+
+    A name of more than ``per`` rows comes in pieces of about that many, its persons dealt
+    out by hash, so a row is bounded by ``per`` and by a person's papers whatever the name;
+    a smaller one has the one piece 0. Null names and persons are left out, as keys of a
+    map have to be.
+    """
+    rows = df.where(F.col(name).isNotNull() & F.col(aid).isNotNull()).groupBy(name, aid).agg(F.sort_array(F.collect_list(pid)).alias("pids"), F.count(F.lit(1)).alias("n_"))
+    rows = written(rows, "persons")
+    sizes = rows.groupBy(name).agg(F.ceil(F.sum("n_") / per).alias("pieces_"))
+    pieces = rows.join(sizes, name).withColumn("piece", F.pmod(F.xxhash64(aid), F.col("pieces_")).cast("int"))
+    return pieces.groupBy(name, "piece").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(aid, "pids")))).alias("persons"))
 
 
 def split_key(key: Column) -> tuple[Column, Column]:

@@ -422,3 +422,20 @@ def test_hashed_numbers_and_folds(spark):
         assert [n for n, _ in mine] == list(range(1, len(keys) + 1))
     one, two = hashed_folds(df, ["g"], ["k"], 5, seed=2), equal_folds(df, ["g"], [hashed_order("k", seed=2), "k"], 5)
     assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_name_maps_in_pieces(spark):
+    """A large name comes in several rows, a small one in one; flattened they are the rows again; null names and persons are left out."""
+    from namewright.sources import files
+
+    rows = [("big", i % 60, i) for i in range(300)] + [("small", 1, 1000), ("small", 1, 1000), ("small", 2, 1001)]
+    df = spark.createDataFrame([*rows, (None, 3, 5), ("small", None, 6)], "name string, aid long, pid long")
+    nested = files.by_name(df, "name", "aid", "pid", per=50)
+    got = nested.collect()
+    assert sorted(r["piece"] for r in got if r["name"] == "small") == [0]
+    pieces = [r["persons"] for r in got if r["name"] == "big"]
+    assert 3 < len(pieces) <= 6 and max(sum(map(len, p.values())) for p in pieces) <= 120
+    assert sum(len(p) for p in pieces) == 60  # each person in one piece
+    back = files.flattened(nested.select("name", "persons"), "name", "persons").collect()
+    assert sorted(tuple(r) for r in back) == sorted(rows)
+    assert files.by_name(df.limit(0), "name", "aid", "pid").count() == 0

@@ -266,7 +266,7 @@ DRAWN = dict(
 )
 
 
-@query("r02_drawn_negatives", sql("SELECT d.pid, p.aid FROM drawn d JOIN persons p ON p.block = d.block AND p.place = d.at + CASE WHEN d.at >= coalesce(d.own, n + 1) THEN 1 ELSE 0 END", "papers", "split", **DRAWN, drawn=f"SELECT *, unnest(have) AS at FROM ({floyd(9, 8, 'SELECT * FROM known')})"))
+@query("r02_drawn_negatives", sql("SELECT d.pid, p.aid FROM drawn d JOIN persons p ON p.block = d.block AND p.place = d.spot + CASE WHEN d.spot >= coalesce(d.own, n + 1) THEN 1 ELSE 0 END", "papers", "split", **DRAWN, drawn=f"SELECT *, unnest(have) AS spot FROM ({floyd(9, 8, 'SELECT * FROM known')})"))
 def r02_drawn_negatives(spark, d):
     """Nine other persons of the block per slot, drawn by number; slots never meet all persons."""
     parts = split(spark, d)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewright.sources.shared import written
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -40,6 +42,28 @@ def words(spark, d):
     return lines(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("pid"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
 
 
+def line_sets(spark, d, numbers: bool = False) -> DataFrame:
+    """(pid, co, wo): the distinct co-authors and words of every paper with lines, in one aggregation; null where a paper has none.
+
+    With ``numbers`` a token is a number instead, the same for equal tokens of one call.
+    """
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("author"))
+    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("listed"))
+    if numbers:
+        names, every = numbered(s.select("author"), "authors"), numbered(p.select(F.explode("listed").alias("word")), "words")
+        s = s.join(names, "author").select("s_suppkey", F.col("number").alias("author"))
+        p = p.select("p_partkey", F.explode(F.array_distinct("listed")).alias("word")).join(every, "word").groupBy("p_partkey").agg(F.sort_array(F.collect_set("number")).alias("listed"))
+        s, p = written(s, "author-numbers"), written(p, "word-numbers")
+    rows = lines(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+    sets = rows.groupBy(F.col("l_orderkey").alias("pid")).agg(F.collect_set("author").alias("co"), F.array_distinct(F.flatten(F.collect_set("listed"))).alias("wo"))
+    return sets.select("pid", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("co", "wo")])
+
+
+def numbered(values: DataFrame, name: str) -> DataFrame:
+    """Adds ``number`` to the distinct values that are not null; written, so that a value keeps its number."""
+    return written(values.na.drop().distinct().withColumn("number", F.monotonically_increasing_id()), name)
+
+
 def split(spark, d):
     from namewright.operators.ranking import temporal_split
 

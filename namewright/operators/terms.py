@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namewright.functions.text import ngrams
 from namewright.operators.ranking import top_k
+from namewright.sources.shared import written
 
 
 def document_frequency(df: DataFrame, tokens: str) -> DataFrame:
@@ -31,18 +32,30 @@ def owner_lengths(df: DataFrame, owner: str, tokens: str) -> DataFrame:
 
 
 def owner_tfidf(counts: DataFrame, lengths: DataFrame, owner: str) -> DataFrame:
-    """N / length x ln(owners / (owners with the n-gram + 1))."""
+    """N / length x ln(owners / (owners with the n-gram + 1)).
+
+    How many owners have an n-gram is written, so that its size is known where it is joined
+    and few n-grams do not make the counts move.
+    """
     owners = lengths.agg(F.count(F.lit(1)).alias("owners"))
-    df = counts.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"))
-    joined = counts.join(df, "ngram").join(lengths, owner).join(F.broadcast(owners))
+    df = written(counts.groupBy("ngram").agg(F.count(F.lit(1)).alias("df")), "owners-of-ngrams")
+    joined = counts.join(lengths, owner).join(df, "ngram").join(F.broadcast(owners))
     return joined.select(owner, "ngram", (F.col("n") / F.col("length") * idf(F.col("owners"), F.col("df"))).alias("tfidf"))
 
 
-def mean_ngram_score(papers: DataFrame, scores: DataFrame, pid: str, owner: str, tokens: str, sizes: range) -> DataFrame:
-    """Mean owner score over a paper's n-grams, repeats counted; unknown n-grams count 0, no n-gram gives 0."""
+def mean_ngram_score(papers: DataFrame, pid: str, owner: str, tokens: str, sizes: range) -> DataFrame:
+    """Mean owner score (A05) over a paper's n-grams, repeats counted; no n-gram gives 0.
+
+    An owner's counts are taken beside the n-grams, in the owner's partition, instead of being joined.
+    """
+    counts = ngram_counts(papers, owner, tokens, sizes)
+    owners = papers.agg(F.count_distinct(owner).alias("owners"))
+    df = written(counts.groupBy("ngram").agg(F.count(F.lit(1)).alias("df")), "owners-of-ngrams")
     grams = F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in sizes]))
-    rows = papers.select(pid, owner, F.explode_outer(grams).alias("ngram"))
-    return rows.join(scores, [owner, "ngram"], "left").groupBy(pid, owner).agg(F.avg(F.coalesce("tfidf", F.lit(0.0))).alias("score"))
+    rows = papers.withColumn("length", F.sum(F.size(tokens)).over(Window.partitionBy(owner))).select(pid, owner, "length", F.explode_outer(grams).alias("ngram"))
+    rows = rows.withColumn("n", F.count("ngram").over(Window.partitionBy(owner, "ngram"))).join(df, "ngram", "left").join(F.broadcast(owners))
+    tfidf = F.col("n") / F.col("length") * idf(F.col("owners"), F.col("df"))
+    return rows.groupBy(pid, owner).agg(F.avg(F.coalesce(tfidf, F.lit(0.0))).alias("score"))
 
 
 def top_terms(df: DataFrame, owner: str, doc: str, words: str, k: int) -> DataFrame:
@@ -50,10 +63,10 @@ def top_terms(df: DataFrame, owner: str, doc: str, words: str, k: int) -> DataFr
 
     Smooth idf ln((1 + n) / (1 + df)) + 1 and rows of unit length, as vectorizers do by default.
     """
-    terms = df.select(owner, doc, F.explode(words).alias("term")).groupBy(owner, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    over = lambda *keys: Window.partitionBy(*keys)
     docs = df.groupBy(owner).agg(F.count(F.lit(1)).alias("docs"))
-    df_ = terms.groupBy(owner, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = terms.join(df_, [owner, "term"]).join(docs, owner).withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    norms = weighed.groupBy(owner, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = weighed.join(norms, [owner, doc]).groupBy(owner, "term").agg(F.round(F.sum(F.col("w") / F.col("norm")), 9).alias("score"))
+    terms = df.join(docs, owner).select(owner, doc, "docs", F.explode(words).alias("term")).groupBy(owner, doc, "term", "docs").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = terms.withColumn("df", F.count(F.lit(1)).over(over(owner, "term"))).withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    normed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(over(owner, doc))))
+    scored = normed.groupBy(owner, "term").agg(F.round(F.sum(F.col("w") / F.col("norm")), 9).alias("score"))
     return top_k(scored, [owner], [F.desc("score"), "term"], k)

@@ -8,7 +8,8 @@ from namewright.functions import similarity, text
 from namewright.functions.similarity import KERNELS
 from namewright.operators import ranking, terms, tiles, vectors
 from namewright.plans.registry import query
-from namewright.plans.views import coauthors, orgs, papers, split, sql, table, words
+from namewright.plans.views import coauthors, line_sets, orgs, papers, split, sql, table, words
+from namewright.sources.shared import spread
 
 TOKENS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim({})), '[!“”\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~—～’]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g')), ' '), lambda w: length(w) > 1)"
 DOC_TOKENS = "SELECT doc_id, lang, source, " + TOKENS.format("text") + " AS tokens FROM documents"
@@ -37,8 +38,15 @@ TITLES = "SELECT aid, pid, list(word ORDER BY word) AS tokens FROM papers JOIN w
 GRAMS = "SELECT aid, ngram, count(*) AS n FROM (SELECT aid, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS ngram FROM titles) GROUP BY aid, ngram"
 
 
+#: Papers whose n-grams a task holds.
+PAPERS = 25_000
+
+
 def titles(spark, d):
-    return papers(spark, d).join(words(spark, d), "pid").groupBy("aid", "pid").agg(F.sort_array(F.collect_list("word")).alias("tokens"))
+    """(aid, pid, tokens), a person's papers in one partition, so that what is counted of persons and their n-grams moves no further."""
+    rows = papers(spark, d).groupBy("aid", "pid").agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.join(line_sets(spark, d).where("wo is not null"), "pid").select("aid", "pid", F.sort_array(F.flatten(F.array_repeat("wo", F.col("times").cast("int")))).alias("tokens"))
+    return spread(rows, table(spark, d, "orders").count(), PAPERS, "aid")
 
 
 @query("a03_ngram_counts", sql("SELECT * FROM grams", "papers", "words", titles=TITLES, grams=GRAMS))
@@ -71,7 +79,7 @@ def a05_author_tfidf(spark, d):
 @query("a06_mean_score", sql("SELECT pid, aid, round(avg(coalesce(tfidf, 0.0)), 6) AS score FROM (SELECT pid, aid, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS ngram FROM titles) LEFT JOIN scores USING (aid, ngram) GROUP BY pid, aid", "papers", "words", titles=TITLES, grams=GRAMS, lengths=LENGTHS, scores=TFIDF))
 def a06_mean_score(spark, d):
     """A06."""
-    return terms.mean_ngram_score(titles(spark, d), tfidf(spark, d), "pid", "aid", "tokens", range(1, 3)).withColumn("score", F.round("score", 6))
+    return terms.mean_ngram_score(titles(spark, d), "pid", "aid", "tokens", range(1, 3)).withColumn("score", F.round("score", 6))
 
 
 @query("a07_top_terms", sql("SELECT aid, word AS term, score FROM (SELECT aid, word, round(sum(w / norm), 9) AS score, row_number() OVER (PARTITION BY aid ORDER BY round(sum(w / norm), 9) DESC, word) AS rn FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY aid, pid)) AS norm FROM (SELECT t.aid, t.pid, t.word, ln((1 + docs) / (1.0 + df)) + 1 AS w FROM t JOIN (SELECT aid, count(DISTINCT pid) AS docs FROM t GROUP BY aid) USING (aid) JOIN (SELECT aid, word, count(*) AS df FROM t GROUP BY aid, word) f ON f.aid = t.aid AND f.word = t.word)) GROUP BY aid, word) WHERE rn <= 10", "papers", "words", t="SELECT aid, pid, word FROM papers JOIN words USING (pid)"))

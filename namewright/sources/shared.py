@@ -28,6 +28,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """Dealt by the keys into partitions of about ``each`` of ``rows`` rows, so that a task's memory does not grow with the table. Adaptive execution leaves such partitions as they are."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes and rereads a table: cuts lineage, and a lost executor costs a re-read only."""
     at = fresh(df.sparkSession, name)

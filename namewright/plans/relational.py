@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from namewright.functions import names, similarity
 from namewright.operators import blocking, namejoin, nearest, ranking, tiles
 from namewright.plans.registry import query
-from namewright.plans.views import coauthors, lines, orgs, papers, split, sql, table, words
-from namewright.sources.shared import written
+from namewright.plans.views import coauthors, lines, org_lines, orgs, papers, split, sql, table, words
+from namewright.sources.shared import spread, written
 
 AUTHORS = "SELECT pid, list(author ORDER BY author) AS authors FROM coauthors GROUP BY pid"
 
@@ -180,10 +180,15 @@ def j17_main_author(spark, d):
     return blocking.main_author_position(rows, "pid", "authors", F.array_max("authors"))
 
 
+#: Lines that a task holds where papers' lines are grouped.
+LINES = 250_000
+
+
 @query("j19_org_by_name", sql("SELECT pid, author, max(org) AS org FROM orgs WHERE org <> '' GROUP BY pid, author", "orgs"))
 def j19_org_by_name(spark, d):
     """The organisation of a paper's author by name."""
-    return blocking.by_name_org(orgs(spark, d).withColumn("pos", F.col("org")), "pid", "author", "org", "pos")
+    rows = spread(org_lines(spark, d), table(spark, d, "lineitem").count(), LINES, "pid")
+    return blocking.by_name_org(rows.withColumn("pos", F.col("org")), "pid", "author", "org", "pos")
 
 
 @query("u02_overwrite_union", "SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'xx', source FROM documents WHERE doc_id % 3 = 0")
@@ -202,7 +207,9 @@ def u03_keep_last(spark, d):
 @query("u04_set_sizes", sql("SELECT a.block, CAST(len(list_intersect(a.v, b.v)) AS BIGINT) AS both_, CAST(len(list_distinct(list_concat(a.v, b.v))) AS BIGINT) AS any_, CAST(len(list_filter(a.v, lambda x: NOT list_contains(b.v, x))) AS BIGINT) AS rest FROM n a JOIN o b ON a.block = b.block", "papers", "split", "coauthors", n="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE is_new GROUP BY block", o="SELECT block, list(DISTINCT author) AS v FROM split JOIN coauthors USING (pid) WHERE NOT is_new GROUP BY block"))
 def u04_set_sizes(spark, d):
     """Sizes of intersection, union and difference of a block's new and old authors, counted and never collected."""
-    rows = split(spark, d).join(coauthors(spark, d), "pid")
+    n = table(spark, d, "lineitem").count()
+    named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("author"))
+    rows = spread(lines(spark, d).select(F.col("l_orderkey").alias("pid"), "l_suppkey"), n, LINES, "pid").join(spread(split(spark, d).select("pid", "block", "is_new"), n, LINES, "pid"), "pid").join(named, "l_suppkey")
     each = rows.groupBy("block", "author").agg(F.max("is_new").alias("new"), F.max(~F.col("is_new")).alias("old"))
     size = lambda c: F.sum(c.cast("bigint"))
     out = each.groupBy("block").agg(size(F.col("new") & F.col("old")).alias("both_"), F.count(F.lit(1)).alias("any_"), size(F.col("new") & ~F.col("old")).alias("rest"), size(F.col("new")).alias("n"), size(F.col("old")).alias("m"))

@@ -33,9 +33,14 @@ def coauthors(spark, d):
     return lines(spark, d).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("pid"), F.col("s_name").alias("author")).distinct()
 
 
-def orgs(spark, d):
+def org_lines(spark, d):
+    """(pid, author, org), a row for each line."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return lines(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("pid"), F.col("s_name").alias("author"), F.col("n_name").alias("org")).distinct()
+    return lines(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("pid"), F.col("s_name").alias("author"), F.col("n_name").alias("org"))
+
+
+def orgs(spark, d):
+    return org_lines(spark, d).distinct()
 
 
 def words(spark, d):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namewright.operators import candidates, ranking
+from namewright.operators import blocking, candidates, hashes, ranking
 from namewright.plans.registry import query
 from namewright.plans.views import line_sets, papers, split, sql
 from namewright.sources.shared import written
@@ -160,13 +160,12 @@ def a30_ensemble(spark, d):
 
 @query("r02_negatives", scores_sql("SELECT pid, aid FROM (SELECT f.pid, f.aid, row_number() OVER (PARTITION BY f.pid ORDER BY md5('1|' || f.pid || '|' || f.aid), f.aid) AS rn FROM features f JOIN papers p ON p.pid = f.pid WHERE p.aid <> f.aid) WHERE rn <= 9"))
 def r02_negatives(spark, d):
-    """Nine other persons of the block per slot."""
+    """Nine other persons of the block per slot; pairs are hashed in tiles, their first nine become rows."""
     truth = papers(spark, d).select("pid", F.col("aid").alias("true_aid"))
-    parts = split(spark, d)
-    slots = parts.where("is_new").select("pid", "block")
+    parts = written(split(spark, d).select("pid", "aid", "block", "is_new"), "papers")
+    slots = parts.where("is_new").select("pid", "block").join(truth, "pid")
     persons = parts.where("not is_new").select("block", "aid").distinct()
-    others = slots.join(persons, "block").join(truth, "pid").where("aid <> true_aid")
-    return ranking.sample_per_group(others, ["pid"], ["aid"], 9, seed=1).select("pid", "aid")
+    return hashes.first_by_hash(slots, persons, 9, seed=1).select("pid", "aid")
 
 
 def floyd(k: int, seed: int, rows: str) -> str:
@@ -202,13 +201,22 @@ INJECTED = f"WITH_ SELECT pid, aid, label FROM (SELECT f.pid, f.aid, CASE WHEN f
 
 @query("r05_nil_injection", scores_sql(INJECTED.removeprefix("WITH_ ")))
 def r05_nil_injection(spark, d):
-    """Of the slots with ten negatives or more a fifth lose their true person and the others one negative."""
+    """Of the slots with ten negatives or more a fifth lose their true person and the others one negative.
+
+    Negatives are counted by block and the lost one is found in tiles; every kept pair is a
+    row of the result, made where its slot meets its block, and none is shuffled.
+    """
     truth = papers(spark, d).select("pid", F.col("aid").alias("true_aid"))
-    parts = split(spark, d)
-    pairs = parts.where("is_new").select("pid", "block").join(parts.where("not is_new").select("block", "aid").distinct(), "block").join(truth, "pid")
-    pairs = pairs.select("pid", "aid", (F.col("aid") == F.col("true_aid")).cast("int").alias("label"))
-    draw = F.when(F.col("label") == 0, F.struct(ranking.hashed_order("pid", "aid", seed=6).alias("h"), "aid"))
-    slots = pairs.groupBy("pid").agg(F.sum(1 - F.col("label")).alias("negatives"), F.min(draw).alias("first")).where("negatives >= 10")
-    nil = ranking.share_of(slots, ["pid"], 0.2, seed=5)
-    kept = pairs.join(slots.select("pid", nil.alias("nil"), F.col("first.aid").alias("lost")), "pid")
-    return kept.where(F.when(F.col("nil"), F.col("label") == 0).otherwise(F.col("aid") != F.col("lost"))).select("pid", "aid", "label")
+    parts = written(split(spark, d).select("pid", "aid", "block", "is_new"), "papers")
+    persons = written(parts.where("not is_new").select("block", "aid").distinct(), "persons")
+    slots = parts.where("is_new").select("pid", "block").join(truth, "pid")
+    sizes = persons.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    own = persons.select("block", F.col("aid").alias("true_aid"), F.lit(1).alias("own"))
+    slots = slots.join(sizes, "block").join(own, ["block", "true_aid"], "left")
+    enough = slots.withColumn("negatives", F.sum(F.col("n") - F.coalesce("own", F.lit(0))).over(Window.partitionBy("pid"))).where("negatives >= 10")
+    slots = written(enough.select("pid", "block", "true_aid", ranking.share_of(enough, ["pid"], 0.2, seed=5).alias("nil")), "slots")
+    lost = hashes.first_by_hash(slots.where("not nil"), persons, 1, seed=6).select("pid", F.col("aid").alias("lost"))
+    known = written(slots.join(lost, "pid", "left"), "known")
+    pairs = blocking.met_in_slices(known, persons, "block", "pid")
+    kept = pairs.where(F.when(F.col("nil"), F.col("aid") != F.col("true_aid")).otherwise(F.col("aid") != F.col("lost")))
+    return kept.select("pid", "aid", (F.col("aid") == F.col("true_aid")).cast("int").alias("label"))
